@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op3_decontaminate
+from .near_dedup import op7_near_dedup
+from .quality import op1_quality_classifier
 from .secret_scan import op10_secret_scan
 from .token_count import op2_token_counts
 from .toxicity import op4_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_decontaminate, op4_toxicity, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_decontaminate, op4_toxicity, op7_near_dedup, op10_secret_scan)}
 ORACLE: dict[str, str] = {}
