@@ -95,13 +95,17 @@ class TestItems:
 
 
 def best_segment(match: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the best-scoring run; the first and shortest of equals."""
+    """(start, end, matches) of the best-scoring run: of equals the one with the most matches, then the first."""
     total = np.concatenate([[0], np.cumsum(np.where(match, 1, _MISS))])
+    matched = np.concatenate([[0], np.cumsum(match)])
     lowest = np.minimum.accumulate(total)
     gain = total - lowest
-    end = int(np.argmax(gain))
-    start = int(np.flatnonzero(total[: end + 1] == lowest[end])[-1]) if end else 0
-    return start, end, int(match[start:end].sum())
+    best = (0, 0, 0)
+    for end in np.flatnonzero(gain == gain.max()).tolist() if gain.max() else ():
+        start = int(np.argmax(total == lowest[end]))
+        if (n := int(matched[end] - matched[start])) > best[2]:
+            best = (start, end, n)
+    return best
 
 
 def needed(n_words: int, min_matched: int = MIN_MATCHED, short_share: float = SHORT_SHARE) -> int:

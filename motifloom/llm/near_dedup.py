@@ -216,15 +216,16 @@ def _copies(signed: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies."""
+    x, y = common.unused(docs, "gone"), common.unused(docs, "again")
     signed = common.checkpoint(signatures(docs))
-    gone = common.checkpoint(_copies(signed).select(F.col("doc_id").alias("_gone")))
-    kept = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
-    ids = docs.select(F.col("doc_id").alias("_again")).filter("_again is not null")
-    again = common.checkpoint(ids.groupBy("_again").count().filter("count > 1").select("_again"))
+    gone = common.checkpoint(_copies(signed).select(F.col("doc_id").alias(x)))
+    kept = docs.join(gone, F.col("doc_id").cast("bigint") == F.col(x), "left_anti")
+    ids = docs.select(F.col("doc_id").alias(y)).filter(F.col(y).isNotNull())
+    again = common.checkpoint(ids.groupBy(y).agg(F.count("*").alias("n")).filter("n > 1").select(y))
     if again.isEmpty():
         return kept
-    once = kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    return once.unionByName(kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+    once = kept.join(again, F.col("doc_id") == F.col(y), "left_anti")
+    return once.unionByName(kept.join(again, F.col("doc_id") == F.col(y), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
