@@ -105,10 +105,12 @@ def components(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 
 def pairs_within(entries: np.ndarray, radius: int = RADIUS, confirm: int = CONFIRM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices of the near copies among table entries, each bucket compared completely."""
+    if not len(entries):
+        return
     key = _keys(entries["v"], entries["a"])
     order = np.argsort(key)
     key, a, b = key[order], entries["a"][order], entries["b"][order]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     end = np.repeat(np.append(start[1:], len(key)), np.diff(np.append(start, len(key))))
     at, step = np.arange(len(key)), 1
     while len(at := at[at + step < end[at]]):
