@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from motifloom.config import Config
+from motifloom.functions.arithmetic import raw_savings
 
 from . import patterns as pt
 from . import static_dictionaries as sd
@@ -186,17 +187,16 @@ def encode(tokens: Sequence[Token], config: Config = Config(), extra: Sequence[C
         if config.prune_subsumed:
             found = pt.without_subsumed(found, config)
         seen += len(found)
-        chosen = [o for o in select(work, found, config, embed)]
-        names: dict[tuple, Token] = {}
-        for o in chosen:
-            if o.pattern not in names and len(entries) + len(names) < config.pool:
-                names[o.pattern] = f"{config.meta[0]}{len(entries) + len(names)}{config.meta[1]}"
+        chosen = select(work, found, config, embed)
         # a patch makes a stretch dearer than the choice reckoned
         used = Counter(o.pattern for o in chosen)
         cost = Counter()
         for o in chosen:
             cost[o.pattern] += 2 + 2 * len(o.patches) if o.patches else 0
-        names = {p: n for p, n in names.items() if used[p] * len(p) - used[p] - 1 - len(p) - config.extra > cost[p]}
+        names: dict[tuple, Token] = {}
+        for o in chosen:
+            if o.pattern not in names and len(entries) + len(names) < config.pool and raw_savings(o.length, used[o.pattern], config.extra) > cost[o.pattern]:
+                names[o.pattern] = f"{config.meta[0]}{len(entries) + len(names)}{config.meta[1]}"
         if not names:
             break
         shorter = body_with(body, chosen, names, config)

@@ -315,8 +315,8 @@ def by_syntax(source: str, config: Config = Config()) -> tuple[list[str], list[C
     """The tokens of Python source, and the patterns that are whole syntax nodes of a shape that recurs; none if it doesn't parse."""
     try:
         tree, listed = ast.parse(source), source_tokens(source)
-    except (SyntaxError, tokenize.TokenError, ValueError):
-        return [], []
+    except (SyntaxError, tokenize.TokenError, ValueError, MemoryError, RecursionError):
+        return [], []  # the last two: nested too deeply for the parser
     words = [t for t, _, _ in listed]
     shapes: dict[tuple, set[tuple[int, int]]] = defaultdict(set)
     lines = source.splitlines()
