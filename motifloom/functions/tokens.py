@@ -20,8 +20,7 @@ def tokens(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """How many tokens ``text`` has, without building them."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
-    return F.when(flat == "", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("bigint")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("bigint")
 
 
 def normal_text(text: Column) -> Column:
