@@ -39,6 +39,7 @@ RIDGE = 1e-3  #: a row
 GRID = 4096  #: cells of the score, from -1 to 2
 KEEP = 0.5
 SEED = 20240229
+SMALL = 4_000_000  #: so many labels are few enough to tell every task which documents have one
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
@@ -169,10 +170,18 @@ def _summed(rows: DataFrame, part) -> np.ndarray | None:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the labelled documents of ``docs``."""
 
-    def describe(texts: pa.Array, batch: pa.RecordBatch) -> pa.RecordBatch:
-        return common.record(_LABELLED, batch.column("doc_id"), common.binary(list(statistics(texts))))
-
     known = labels.selectExpr("cast(doc_id as bigint) doc_id", "cast(quality as int) y").filter("doc_id is not null and y is not null")
+    # statistics of the labelled documents alone where the labels are few; with more the join sorts them out
+    ids = np.sort(known.select("doc_id").toArrow()["doc_id"].to_numpy()) if known.count() <= SMALL else None
+    shared = docs.sparkSession.sparkContext.broadcast(ids)
+
+    def describe(texts: pa.Array, batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        own, doc_ids = shared.value, batch.column("doc_id")
+        if own is not None:
+            asked = pa.array(np.isin(doc_ids.to_numpy(), own))
+            texts, doc_ids = texts.filter(asked), doc_ids.filter(asked)
+        return common.record(_LABELLED, doc_ids, common.binary(list(statistics(texts)))) if len(texts) else None
+
     # a hundred bytes a document, and no text, go through the join
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").filter("doc_id is not null").mapInArrow(common.over_slices(describe), "doc_id bigint, x binary").join(known, "doc_id")
     rows = common.checkpoint(rows.select("x", "y", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held")))
