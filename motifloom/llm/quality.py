@@ -34,7 +34,8 @@ from . import common, kernels
 
 STATISTICS = ("log_words", "word_length", "upper", "digits", "symbols", "bars", "spaces", "line_length", "distinct_words", "repeated_next", "long_words", "stop_share")
 FEATURES = 128  #: random Fourier features
-BANDWIDTH = 2.5  #: of the Gaussian kernel, in standard deviations
+BANDWIDTH = 4.0  #: of the Gaussian kernel, in standard deviations
+LEAST_SCALE = 0.02  #: added to each standard deviation: two in a hundred characters are no outlier
 RIDGE = 1e-3  #: a row
 GRID = 4096  #: cells of the score, from -1 to 2
 KEEP = 0.5
@@ -120,21 +121,19 @@ def cell(score: np.ndarray) -> np.ndarray:
 
 
 def isotonic(count: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Non-decreasing least-squares fit of total / count by cell; cells between take the nearest below, else above; 0.5 where there is nothing."""
+    """Non-decreasing least-squares fit of total / count by cell; linear between cells that have any, level beyond them; 0.5 where there is nothing."""
     blocks: list[list[float]] = []
     for i in np.flatnonzero(count):
-        blocks.append([float(total[i]), float(count[i]), int(i)])
+        blocks.append([float(total[i]), float(count[i]), int(i), int(i)])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            t, n, _ = blocks.pop()
+            t, n, _, last = blocks.pop()
             blocks[-1][0] += t
             blocks[-1][1] += n
+            blocks[-1][3] = last
     if not blocks:
         return np.full(len(count), 0.5)
-    curve = np.empty(len(count))
-    curve[: blocks[0][2]] = blocks[0][0] / blocks[0][1]
-    for k, (t, n, first) in enumerate(blocks):
-        curve[first : blocks[k + 1][2] if k + 1 < len(blocks) else len(count)] = t / n
-    return curve
+    ends = [(x, t / n) for t, n, first, last in blocks for x in dict.fromkeys((first, last))]
+    return np.interp(np.arange(len(count)), *zip(*ends))
 
 
 _LABELLED = pa.schema([("doc_id", pa.int64()), ("x", pa.binary())])
@@ -195,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if moments is None:
         return model
     model.mean = moments[1 : d + 1] / moments[0]
-    model.scale = np.sqrt(np.maximum(moments[d + 1 :] / moments[0] - model.mean**2, 0)) + 1e-6
+    model.scale = np.sqrt(np.maximum(moments[d + 1 :] / moments[0] - model.mean**2, 0)) + LEAST_SCALE
 
     def normal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         z = fourier((x - model.mean) / model.scale, direction, phase)
