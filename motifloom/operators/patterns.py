@@ -87,6 +87,22 @@ def windows(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray,
         yield length, order[again], group[again]
 
 
+def recurring(codes: np.ndarray, size: int, offsets: Iterable[int], least: int) -> list[int]:
+    """Ascending starts of the windows whose tokens at ``offsets`` occur together at least so often.
+
+    By 64-bit hashes: another start may slip in, none is left out.
+    """
+    n = len(codes) - size + 1
+    if n < least:
+        return []
+    key = np.zeros(n, dtype=np.uint64)
+    for o in offsets:
+        key = (key + codes[o : o + n].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+    return np.flatnonzero(count[which] >= least).tolist()
+
+
 def ngrams(tokens: Sequence[Token], config: Config = Config(), barrier: Callable[[Token], bool] | None = None) -> list[Candidate]:
     """All patterns that pay, the longest first, then by first start."""
     out: list[Candidate] = []
@@ -268,11 +284,11 @@ def fuzzy(tokens: Sequence[Token], config: Config = Config(), barrier: Callable[
     """Patterns whose stretches differ in at most ``max_diff`` tokens, among those with equal tokens at even places."""
     if not all(isinstance(t, str) for t in tokens):
         raise ValueError("differences are looked for in text tokens only")
-    blocked = [barrier is not None and barrier(t) for t in tokens]
+    blocked, codes = [barrier is not None and barrier(t) for t in tokens], encode(tokens)
     out: list[Candidate] = []
     for length in range(min(config.max_length, len(tokens)), config.min_length - 1, -1):
         places: dict[tuple, list[int]] = {}
-        for i in range(len(tokens) - length + 1):
+        for i in recurring(codes, length, range(0, length, 2), 2):
             if not any(blocked[i : i + length]):
                 places.setdefault(tuple(tokens[i : i + length]), []).append(i)
         buckets: dict[tuple, list[tuple]] = {}
@@ -283,7 +299,8 @@ def fuzzy(tokens: Sequence[Token], config: Config = Config(), barrier: Callable[
             while len(waiting) > 1:
                 seed, rest = waiting[0], waiting[1:]
                 near = [g for g in rest if sum(map(_unlike, seed, g)) <= config.max_diff]
-                waiting = [g for g in rest if g not in set(near)]
+                gone = set(near)
+                waiting = [g for g in rest if g not in gone]
                 if not near:
                     continue
                 members = [seed, *near]

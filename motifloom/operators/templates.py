@@ -9,6 +9,7 @@ from itertools import groupby
 
 from motifloom.config import Config
 
+from . import patterns as pt
 from .codec import is_meta, number_in, require_free
 from .patterns import Token, free
 
@@ -99,9 +100,10 @@ def _best(found: list[Template], config: Config) -> list[Template]:
 def discover(tokens: Sequence[Token], config: Config = Config()) -> list[Template]:
     """Templates of several slots, among windows that share every third token."""
     found: list[Template] = []
+    codes = pt.encode(tokens)
     for size in range(min(config.max_length, len(tokens)), config.min_length - 1, -1):
         prints: dict[tuple, list[int]] = defaultdict(list)
-        for i in range(len(tokens) - size + 1):
+        for i in pt.recurring(codes, size, range(0, size, 3), config.template_instances):
             prints[tuple(tokens[i : i + size : 3])].append(i)
         used: set[int] = set()
         for places in prints.values():
@@ -119,10 +121,11 @@ def discover(tokens: Sequence[Token], config: Config = Config()) -> list[Templat
 def discover_single(tokens: Sequence[Token], config: Config = Config()) -> list[Template]:
     """Templates with exactly one slot of one token, at any place."""
     found: list[Template] = []
+    codes = pt.encode(tokens)
     for size in range(min(config.max_length, len(tokens)), config.min_length - 1, -1):
         for hole in range(size):
             around: dict[tuple, list[int]] = defaultdict(list)
-            for i in range(len(tokens) - size + 1):
+            for i in pt.recurring(codes, size, (o for o in range(size) if o != hole), config.template_instances):
                 around[(*tokens[i : i + hole], *tokens[i + hole + 1 : i + size])].append(i)
             for rest, places in around.items():
                 if len(places) < config.template_instances:
