@@ -64,8 +64,11 @@ def is_reserved(token: Token, config: Config = Config()) -> bool:
 
 def require_free(tokens: Iterable[Token], config: Config = Config()) -> None:
     """ValueError if any token is reserved."""
-    for t in tokens:
-        if is_reserved(t, config):
+    fixed = (*config.dictionary, *config.patch, config.slot, *config.slot_value)
+    # of the distinct tokens, only those that begin like a reserved one need a look
+    begins = tuple({*fixed, config.meta[0], config.index_mark[0], config.static_mark[0], config.length_mark[0], sd.MARK[0]})
+    for t in set(tokens):
+        if isinstance(t, str) and t.startswith(begins) and is_reserved(t, config):
             raise ValueError(f"Reserved token in the input: {t!r}")
 
 
@@ -132,18 +135,18 @@ def serialised(entries: Sequences, body: Sequence[Token], config: Config, static
     return [*head, *dictionary_tokens(entries, config), *body]
 
 
-def discovered(tokens: Sequence[Token], config: Config, barrier: Callable[[Token], bool]) -> list[Candidate]:
-    """Candidates of the configured kind."""
-    if config.discovery == "suffix-array" and not any(map(barrier, tokens)):
+def discovered(tokens: Sequence[Token], config: Config, barrier: Callable[[Token], bool] | None) -> list[Candidate]:
+    """Candidates of the configured kind; where there are barriers, windows."""
+    if config.discovery == "suffix-array" and barrier is None:
         exact = pt.by_suffixes(tokens, config)
-    elif config.discovery == "bpe" and not any(map(barrier, tokens)):
+    elif config.discovery == "bpe" and barrier is None:
         exact = [c for c in pt.merged_pairs(tokens, config) if c.length <= config.max_length]
-    elif config.discovery == "bpe-extended" and not any(map(barrier, tokens)):
+    elif config.discovery == "bpe-extended" and barrier is None:
         exact = pt.grown_pairs(tokens, config)
     else:
         exact = pt.ngrams(tokens, config, barrier)
     if config.fuzzy and all(isinstance(t, str) for t in tokens):
-        return [*pt.fuzzy(tokens, config, lambda t: barrier(t) or is_meta(t, config)), *exact]
+        return [*pt.fuzzy(tokens, config, lambda t: (barrier is not None and barrier(t)) or is_meta(t, config)), *exact]
     return exact
 
 
@@ -171,13 +174,10 @@ def encode(tokens: Sequence[Token], config: Config = Config(), extra: Sequence[C
     depth: dict[Token, int] = {}
     seen = 0
 
-    def barrier(t: Token) -> bool:
-        return isinstance(t, str) and (t in config.patch or _within(t, config.index_mark) is not None)
-
     for level in range(1, (config.passes if config.hierarchical else 1) + 1):
         blocked = _patch_interior(body, config)
         work = [("barrier", i) if i in blocked else t for i, t in enumerate(body)] if blocked else body
-        inside = (lambda t: isinstance(t, tuple) and t[:1] == ("barrier",)) if blocked else barrier
+        inside = (lambda t: isinstance(t, tuple) and t[:1] == ("barrier",)) if blocked else None
         found = discovered(work, config, inside) if level == 1 or not config.fuzzy else pt.ngrams(work, config, inside)
         if level == 1:
             found = [*extra, *found]
@@ -221,6 +221,8 @@ def encode(tokens: Sequence[Token], config: Config = Config(), extra: Sequence[C
 def _patch_interior(body: Sequence[Token], config: Config) -> set[int]:
     """Places in patch blocks, with the name before each: no pattern may reach into one."""
     out: set[int] = set()
+    if config.patch[0] not in body:
+        return out
     opened = False
     for i, t in enumerate(body):
         if t == config.patch[0]:
@@ -308,13 +310,15 @@ def decode_with(body: Sequence[Token], entries: Mapping[Token, Sequence[Token]],
     whole: dict[Token, list[Token]] = {}
     for name, sequence in ordered({k: tuple(v) for k, v in known.items()}).items():
         whole[name] = [t for part in sequence for t in (whole[part] if part in whole else [part])]
+    if not known:
+        return list(body)
     out: list[Token] = []
     at = 0
     while at < len(body):
         token = body[at]
         at += 1
         if token not in whole:
-            if is_meta(token, config) and known:
+            if is_meta(token, config):
                 raise ValueError(f"Unknown meta-token: {token}")
             out.append(token)
             continue

@@ -23,9 +23,16 @@ from . import codec, importance, templates
 from . import patterns as pt
 
 _TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+SMALL = 128 << 20  #: bytes of a table that one task may hold alone
 ROWS = 50_000  #: of results that a kernel holds before it passes them on
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Small tables over all cores, since a file of one row group is read by one task; large ones as they are, without a shuffle."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size < SMALL else docs
+
+
 def per_document(docs: DataFrame, schema: str, work: Callable[[object, list[str]], Iterator[tuple]], text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows that ``work(id, tokens)`` gives for each document; a null text has no tokens."""
     fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
@@ -44,7 +51,7 @@ def per_document(docs: DataFrame, schema: str, work: Callable[[object, list[str]
         if rows:
             yield _batch(rows, arrow)
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), normal_text(F.col(text)).alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).select("doc_id", normal_text(F.col("text")).alias("text")).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
