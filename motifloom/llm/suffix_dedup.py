@@ -50,8 +50,8 @@ MIN_WORDS = 50
 REACH = 25
 GRAM = 4
 SPLIT_BYTES = 24
-SPLIT_SAMPLE = 20_000
-SPLIT_SHARE = 64  #: one document in so many is asked for splitters
+SPLIT_DOCUMENTS = 4_000  #: about so many are asked for splitters, or four a range if that is more
+SPLIT_SHARE = 4  #: and one suffix in so many of theirs is taken
 RUN_RECORDS = 100_000
 _POSITION_BITS = np.uint64(28)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -230,18 +230,26 @@ def candidates(rows: DataFrame, parts: int, min_words: int, reach: int) -> DataF
 
 
 def splitters(rows: DataFrame, parts: int, min_words: int, reach: int) -> list[bytes]:
-    """At most ``parts - 1`` prefixes that cut the suffixes into about even ranges."""
+    """At most ``parts - 1`` prefixes that cut the suffixes into about even ranges.
+
+    What reaches the driver is in proportion to ``parts``, not to the corpus.
+    """
     schema = pa.schema([("prefix", pa.binary())])
+    size = min(SPLIT_BYTES, 2 * (min_words - reach + 1))  # a word and its space take two bytes at least
 
     def prefixes(texts: pa.Array, batch: pa.RecordBatch) -> pa.RecordBatch:
         w = kernels.words(texts)
         data, begin = spelled(w)
-        return common.record(schema, pa.array([data[i : i + size] for i in begin[minimisers(w, min_words, reach)[0]].tolist()], pa.binary()))
-
-    size = min(SPLIT_BYTES, 2 * (min_words - reach + 1))  # a word and its space take two bytes at least
-    asked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SPLIT_SHARE)) == 0)
-    found = asked.mapInArrow(common.over_slices(prefixes), "prefix binary").orderBy(F.xxhash64("prefix")).limit(SPLIT_SAMPLE)
-    ordered = sorted(r[0] for r in found.collect())
+        at = minimisers(w, min_words, reach)[0]
+        doc = batch.column("doc_id").to_numpy().astype(np.uint64)[w.row[at]]
+        lot = kernels.mix(doc * _M + (at - w.bounds[w.row[at]]).astype(np.uint64))
+        taken = at[lot % np.uint64(SPLIT_SHARE) == 0]
+        return common.record(schema, pa.array([data[i : i + size] for i in begin[taken].tolist()], pa.binary()))
+
+    n = rows.count()
+    share = min(1.0, max(SPLIT_DOCUMENTS, 4 * parts) / max(1, n))
+    asked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    ordered = sorted(r[0] for r in asked.mapInArrow(common.over_slices(prefixes), "prefix binary").collect())
     return sorted({ordered[i * len(ordered) // parts] for i in range(1, parts)}) if ordered else []
 
 
