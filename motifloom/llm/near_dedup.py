@@ -1,9 +1,11 @@
-"""SimHash near-deduplication by covering locality-sensitive hashing.
+"""Near-deduplication by minwise bits and covering locality-sensitive hashing.
 
-Each text gets two independent 64-bit SimHashes of its words: one weighted by
-the square root of their counts, one by their presence.  Two texts are near
-copies if the first differ in at most ``RADIUS`` bits and the second, which
-only confirms, in at most ``CONFIRM``; near copies of near copies form a group.
+Each text gets two independent signatures of 64 one-bit minwise hashes: one of
+its words, one of its pairs of adjacent words.  Two texts are near copies if the
+first differ in at most ``RADIUS`` bits and the second, which only confirms, in
+at most ``CONFIRM``; near copies of near copies form a group.  A bit differs
+with half of one minus the Jaccard similarity, so a few edits cost few bits;
+those of a SimHash differ with the angle, which is like the root of that.
 
 Covering hashing finds all pairs within the radius, not just most: every bit
 gets a random non-zero vector of ``RADIUS + 1`` bits, and table ``v`` (one for
@@ -38,35 +40,44 @@ from pyspark.sql import functions as F
 from . import common, kernels
 
 RADIUS = 7
-CONFIRM = 14
+CONFIRM = 16
 SEED = 7
 _ENTRY = np.dtype([("v", "u1"), ("a", "<u8"), ("b", "<u8")])
 _PARTITION_MB = 48
 _CHUNK = 2000
 
 
-def simhash(row: np.ndarray, feature: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """The 64-bit SimHash of each of ``n`` rows, of which ``row`` (ascending) has these weighted features."""
+def minwise(row: np.ndarray, feature: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """64 one-bit minwise hashes of each of ``n`` rows, of which ``row`` (ascending) has these features."""
     out = np.zeros(n, dtype=np.uint64)
     cut = np.searchsorted(row, np.arange(n + 1))
     some = np.flatnonzero(np.diff(cut))
     if len(some):
-        signs = np.unpackbits(feature.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
-        sums = np.add.reduceat((signs * 2 - 1) * weight.astype(np.float32)[:, None], cut[some], axis=0)
-        out[some] = np.packbits(sums > 0, axis=1).view("<u8").ravel()
+        x, start = (feature >> np.uint64(32)).astype(np.uint32), cut[some]
+        draws = np.random.default_rng(seed).integers(0, 1 << 32, (64, 3), dtype=np.uint32)
+        for k, (own, one, two) in enumerate(draws):
+            h = (x ^ own) * (one | np.uint32(1))
+            h ^= h >> np.uint32(15)
+            h *= two | np.uint32(1)
+            h ^= h >> np.uint32(16)
+            out[some] |= (np.minimum.reduceat(h, start) & np.uint32(1)).astype(np.uint64) << np.uint64(k)
     return out
 
 
+def _distinct(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's hashes (44 bits of them, mixed) once, rows ascending."""
+    key = np.unique(row.astype(np.uint64) << np.uint64(44) | hashes >> np.uint64(20))
+    return (key >> np.uint64(44)).astype(np.int64), kernels.mix(key & np.uint64(2**44 - 1))
+
+
 def signatures_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both SimHashes of each text, and whether it has any word."""
+    """Both signatures of each text, and whether it has any word."""
     w = kernels.words(texts)
     n = len(texts)
-    key = np.sort(w.row.astype(np.uint64) << np.uint64(44) | w.hash >> np.uint64(20))
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-    count = np.diff(np.append(first, len(key)))
-    row, word = (key[first] >> np.uint64(44)).astype(np.int64), key[first] & np.uint64(2**44 - 1)
-    one = simhash(row, kernels.mix(word + np.uint64(1 << 50)), np.sqrt(count), n)
-    two = simhash(row, kernels.mix(word + np.uint64(1 << 51)), np.ones(len(count)), n)
+    pairs = kernels.rolled(w.hash, (0, 1))
+    inside = kernels.same_row(w.row, 1)
+    one = minwise(*_distinct(w.row, w.hash), n, SEED)
+    two = minwise(*_distinct(w.row[: len(pairs)][inside], pairs[inside]), n, SEED + 1)
     return one, two, np.diff(w.bounds) > 0
 
 

@@ -90,3 +90,32 @@ def test_clean_texts_stay(spark):
     rng = random.Random(8)
     rows = [(i, text(rng, 60)) for i in range(200)]
     assert nd.copies(documents(spark, rows)).collect() == []
+
+
+def near(texts):
+    """Whether the two texts of each pair are near copies."""
+    a, b, _ = nd.signatures_of(kernels.as_strings(pa.array([t for pair in texts for t in pair])))
+    return (np.bitwise_count(a[::2] ^ a[1::2]) <= nd.RADIUS) & (np.bitwise_count(b[::2] ^ b[1::2]) <= nd.CONFIRM)
+
+
+def test_short_and_lightly_edited_pairs_are_near():
+    rng = random.Random(21)
+    pairs = []
+    while len(pairs) < 400:
+        base = words(rng, rng.randrange(40, 120))
+        w = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            w[rng.randrange(len(w))] = words(rng, 1)[0]
+        x, y = ({*zip(t, t[1:], t[2:])} for t in (base, w))
+        if 0.7 <= len(x & y) / len(x | y) < 0.8:
+            pairs.append((" ".join(base), " ".join(w)))
+    assert near(pairs).mean() > 0.95
+
+
+def test_same_words_in_another_order_are_not_near():
+    rng = random.Random(22)
+    pairs = []
+    for _ in range(40):
+        base = words(rng, 400)
+        pairs.append((" ".join(base), " ".join(rng.sample(base, len(base)))))
+    assert not near(pairs).any()
