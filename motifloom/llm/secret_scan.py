@@ -1,7 +1,8 @@
 """Secret scans: keyword automaton, anchored expressions, embedded checksums.
 
 An Aho-Corasick automaton over a few dozen short literals passes once over the
-whole text.  Only where a literal ends is that rule's expression tried,
+whole text, and one over the keywords that stand in any case passes over an
+ASCII-lower-cased copy.  Only where a literal ends is that rule's expression tried,
 anchored at the literal's start, and what it matches is then validated by the
 checksum that the secret itself carries (Luhn, CRC-32 in base 62, base-58
 double SHA-256, ISO 7064 mod 97, DER length, JSON header), or, for kinds that
@@ -91,17 +92,26 @@ def pem(text: str) -> bool:
 
 def entropy(text: str) -> bool:
     """Mixed and irregular enough for a random key."""
+    return any(c.isdigit() for c in text) and _bits(text) >= MIN_ENTROPY
+
+
+def _bits(text: str) -> float:
     n = len(text)
-    return any(c.isdigit() for c in text) and -sum(c / n * math.log2(c / n) for c in Counter(text.lower()).values()) >= MIN_ENTROPY
+    return -sum(c / n * math.log2(c / n) for c in Counter(text.lower()).values())
+
+
+def password(text: str) -> bool:
+    """Irregular, and with a digit or a sign inside that plain words don't have."""
+    return any(c.isdigit() or c in "!#$%&*?@^~" for c in text.rstrip("!?")) and _bits(text) >= MIN_ENTROPY
 
 
-#: kind, literals, expression anchored at the literal (group 1, if any, is the secret), validation, its name
+#: kind, literals, expression anchored at the literal (the group that matches, if any, is the secret), validation, its name
 RULES: list[tuple[str, list[str], str, Callable[[str], bool], str]] = [
     ("payment_card", [f"{i:02d}" for i in range(100)], r"(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?![0-9A-Za-z])", luhn, "luhn"),
     ("github_token", ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], r"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])", crc62, "crc32"),
     ("npm_token", ["npm_"], r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])", crc62, "crc32"),
     ("wif_key", ["5H", "5J", "5K"], r"5[HJK][1-9A-HJ-NP-Za-km-z]{49}(?![0-9A-Za-z])", base58check, "sha256d"),
-    ("iban", ["IBAN", "Iban", "iban"], r"(?i:iban)[^\w\n]{1,4}([A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?)(?![0-9A-Za-z])", mod97, "mod97"),
+    ("iban", ["iban"], r"(?i:iban)[^\w\n]{1,4}([A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?)(?![0-9A-Za-z])", mod97, "mod97"),
     ("jwt", ["eyJ"], r"eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{16,}", jwt, "json"),
     ("private_key", ["-----BEGIN "], r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}-----END \1PRIVATE KEY-----", pem, "der"),
     ("aws_key_id", ["AKIA", "ASIA"], r"A[KS]IA[A-Z2-7]{16}(?![0-9A-Za-z])", entropy, "none"),
@@ -110,14 +120,24 @@ RULES: list[tuple[str, list[str], str, Callable[[str], bool], str]] = [
     ("stripe_key", ["sk_live_", "rk_live_"], r"[sr]k_live_[0-9A-Za-z]{16,}", entropy, "none"),
     (
         "assigned_token",
-        [f(w) for w in ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key") for f in (str.lower, str.upper, str.capitalize)],
+        ["token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key"],
         r"(?i:token|secret|password|passwd|api[_-]?key|access_key)[\w-]{0,16}[^\w\n=:]{0,8}[=:][^\w\n]{0,8}([0-9A-Za-z+/_-]{20,}={0,2})(?![0-9A-Za-z])",
         entropy,
         "none",
     ),
+    (
+        "assigned_password",
+        ["password", "passwd"],
+        r"(?i:password|passwd)[\w-]{0,16}[^\w\n=:]{0,8}[=:]{1,3}>?[ \t]{0,8}"
+        r"(?![\"'`]?(?:\$[{(]|\$[A-Z_][A-Z0-9_]*(?![^\s\"'`])|%\(|\w+://))"  # variables and addresses
+        r"(?:\"([^\s\"]{6,128})\"|'([^\s']{6,128})'|`([^\s`]{6,128})`|([^\s\"'`()<>\[\]{},;]{6,128})(?<![.:])(?![^\s\"'`)>\]},;.:]))",
+        password,
+        "none",
+    ),
 ]
+_ANY_CASE = {"iban", "assigned_token", "assigned_password"}  # literals in lower case, looked for in any
 _WHOLE = {"private_key", "payment_card"}  # their groups are not the secret
-_ANCHORED = {i for i, r in enumerate(RULES) if r[0] not in ("private_key", "assigned_token")}
+_ANCHORED = {i for i, r in enumerate(RULES) if r[0] not in ("private_key", "assigned_token", "assigned_password")}
 
 
 class Scanner:
@@ -125,24 +145,35 @@ class Scanner:
 
     def __init__(self) -> None:
         self.patterns = [re.compile(r[2], re.ASCII) for r in RULES]
-        self.automaton = ahocorasick.Automaton()
-        for i, (_, literals, *_rest) in enumerate(RULES):
-            for literal in literals:
-                self.automaton.add_word(literal, (i, len(literal)))
-        self.automaton.make_automaton()
+        self.exact, self.lower = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for automaton, any_case in ((self.exact, False), (self.lower, True)):
+            rules: dict[str, list[int]] = {}
+            for i, (kind, literals, *_rest) in enumerate(RULES):
+                for literal in literals if (kind in _ANY_CASE) == any_case else ():
+                    rules.setdefault(literal, []).append(i)
+            for literal, those in rules.items():
+                automaton.add_word(literal, (those, len(literal)))
+            automaton.make_automaton()
+
+    def _literals(self, text: str) -> Iterator[tuple[int, int]]:
+        """(start, rule) of each literal in ``text``."""
+        lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # ASCII alone, so offsets stay
+        for automaton, where in ((self.exact, text), (self.lower, lowered)):
+            for at, (those, n) in automaton.iter(where):
+                for i in those:
+                    yield at - n + 1, i
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, checksum) in characters, without overlaps."""
         found: list[tuple[int, int, str, str]] = []
-        for at, (i, n) in self.automaton.iter(text or ""):
-            start = at - n + 1
+        for start, i in self._literals(text or ""):
             if i in _ANCHORED and start and text[start - 1].isalnum():
                 continue
             m = self.patterns[i].match(text, start)
             if not m:
                 continue
             kind, _, _, valid, checksum = RULES[i]
-            group = 0 if kind in _WHOLE or not m.re.groups else 1
+            group = 0 if kind in _WHOLE else m.lastindex or 0
             if valid(m[group]):
                 found.append((m.start(group), m.end(group), kind, checksum))
         if len(found) > 1:

@@ -5,6 +5,7 @@ import binascii
 import hashlib
 import os
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,36 @@ def test_no_secrets():
     assert [f[2] for f in secret_scan.Scanner().scan(loud)] == ["assigned_token"]
 
 
+def test_keywords_in_any_case():
+    rules = {r[0]: r for r in secret_scan.RULES}
+    rng, value = random.Random(3), "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    keys = ["apiKey:", "ApiKey=", "X-Api-Key:", "X-API-Key:", "API_Key=", "Api_Key="]
+    for w in rules["assigned_token"][1]:
+        keys += ["".join(rng.choice((c.lower(), c.upper())) for c in w) + "=" for _ in range(40)]
+    for k in keys:
+        t = f"\u0130 {k} {value} tail"  # longer in lower case
+        m = re.search(rules["assigned_token"][2], t, re.ASCII)
+        assert [f[:3] for f in secret_scan.Scanner().scan(t)] == [(*m.span(1), "assigned_token")], k
+    for k in ("iban", "IBAN", "IBan", "iBaN"):
+        assert [f[2] for f in secret_scan.Scanner().scan(f"{k}: DE89370400440532013000")] == ["iban"], k
+
+
+def test_passwords_of_ordinary_length():
+    for t, secret in {
+        'password = "hunter2"': "hunter2",
+        "Password: Tr0ub4dor&3 tail": "Tr0ub4dor&3",
+        '{"dbPassword": "P@ssw0rd!", "x": 1}': "P@ssw0rd!",
+        "DB_PASSWD='$ecret99'": "$ecret99",
+        "passWord=>s3cr.et/99, next": "s3cr.et/99",
+        "The password: abc123xyz.": "abc123xyz",
+    }.items():
+        found = secret_scan.Scanner().scan(t)
+        assert [(t[a:b], kind) for a, b, kind, _ in found] == [(secret, "assigned_password")], t
+        assert secret_scan.Scanner().scan(secret_scan.redacted(t, found)) == [], t
+    for t in ("password: required!", "password = os.environ['X1']", "password=${DB_PASSWORD1}", 'password="$PGPASSWORD"', "passwords: see https://a.b/c1", "password: https://a.b/c1?d", "the password must have 8 characters", 'password: "string"', "password: aaaaaa1"):
+        assert secret_scan.Scanner().scan(t) == [], t
+
+
 def test_secret_scan(spark):
     far = "w " * 150_000 + GOOD["payment_card"]
     docs = odd(spark, [(20, far, "en", "a", 1), (21, far, None, None, None), (21, far, None, None, None)])
