@@ -9,8 +9,8 @@ double SHA-256, ISO 7064 mod 97, DER length, JSON header), or, for kinds that
 have none, by entropy.
 
 Defined results: null or empty text has no secrets; a null ``doc_id`` stays
-null in the findings; repeated rows are scanned each; of findings that
-overlap, the one that starts first stays, then the longer.  All other columns
+null in the findings; repeated rows are scanned each; passwords are found from
+6 characters, without spaces and with a digit or sign; of findings that overlap, the one that starts first stays, then the longer.  All other columns
 are left alone, whatever their names.
 """
 
@@ -135,11 +135,19 @@ RULES: list[tuple[str, list[str], str, Callable[[str], bool], str]] = [
         "none",
     ),
 ]
+_SHORTEST_IBAN = 15
 _ANY_CASE = {"iban", "assigned_token", "assigned_password"}  # literals in lower case, looked for in any
 _WHOLE = {"private_key", "payment_card"}  # their groups are not the secret
 _ANCHORED = {i for i, r in enumerate(RULES) if r[0] not in ("private_key", "assigned_token", "assigned_password")}
 
 
+def _ends(text: str, kind: str, start: int, end: int) -> Iterator[int]:
+    """Where a match may end, the last first: an IBAN also before each of its spaces, as the words after it look like more groups."""
+    yield end
+    while kind == "iban" and (end := text.rfind(" ", start, end)) >= 0 and end - start - text.count(" ", start, end) >= _SHORTEST_IBAN:
+        yield end
+
+
 class Scanner:
     """The automaton and the expressions; one a Python worker."""
 
@@ -174,8 +182,11 @@ class Scanner:
                 continue
             kind, _, _, valid, checksum = RULES[i]
             group = 0 if kind in _WHOLE else m.lastindex or 0
-            if valid(m[group]):
-                found.append((m.start(group), m.end(group), kind, checksum))
+            first = m.start(group)
+            for end in _ends(text, kind, *m.span(group)):
+                if valid(text[first:end]):
+                    found.append((first, end, kind, checksum))
+                    break
         if len(found) > 1:
             found.sort(key=lambda f: (f[0], -f[1]))
             kept = found[:1]

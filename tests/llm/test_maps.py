@@ -124,6 +124,15 @@ def test_keywords_in_any_case():
         assert [f[2] for f in secret_scan.Scanner().scan(f"{k}: DE89370400440532013000")] == ["iban"], k
 
 
+def test_iban_before_words_in_capitals():
+    spaced = ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
+    for iban in [*spaced, *(i.replace(" ", "") for i in spaced)]:
+        for tail in ("", " BIC", " BIC CAIXESBB", " CAIXESBB", " BANK OF X", " UNICREDIT", " Bank", ". End"):
+            t = f"IBAN: {iban}{tail}"
+            assert [(t[a:b], kind) for a, b, kind, _ in secret_scan.Scanner().scan(t)] == [(iban, "iban")], t
+    assert secret_scan.Scanner().scan("IBAN: ES92 2100 0418 4502 0005 1332 BIC CAIXESBB") == []
+
+
 def test_passwords_of_ordinary_length():
     for t, secret in {
         'password = "hunter2"': "hunter2",
