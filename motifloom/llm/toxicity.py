@@ -79,7 +79,9 @@ _WEIGHT = pa.schema([("place", pa.int64()), ("weight", pa.float64())])
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights of the features that matter, ordered by place."""
     order = F.xxhash64("doc_id")
-    sample = labels.selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) toxic").filter("doc_id is not null and toxic is not null").orderBy(order, "doc_id", "toxic").limit(max_labels)
+    known = labels.selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) toxic").filter("doc_id is not null and toxic is not null")
+    present = docs.selectExpr("cast(doc_id as bigint) doc_id")
+    sample = known.join(present, "doc_id", "left_semi").orderBy(order, "doc_id", "toxic").limit(max_labels)
 
     def features(texts: pa.Array, batch: pa.RecordBatch) -> pa.RecordBatch:
         row, place = distinct(places(kernels.words(texts)))

@@ -183,3 +183,12 @@ def test_odd_urls(spark):
     some = spark.createDataFrame(rows, PAGES)
     assert sorted((r.page_id or 0, r.bad) for r in url_filter.score(clashing(some)).collect()) == [(0, True), (2, False), (3, False), (4, True), (4, True)]
     assert url_filter.rejected(some).count() >= 0 and url_filter.rejected(some.limit(0)).collect() == []
+
+
+def test_labels_without_documents_do_not_use_up_the_bound(spark):
+    rng = random.Random(12)
+    docs = documents(spark, [(i, text(rng, 60, 200)) for i in range(40)])
+    own = [(i, 1, i % 2) for i in range(40)]
+    want = toxicity.fit(docs, spark.createDataFrame(own, LABELS), 40)
+    got = toxicity.fit(docs, spark.createDataFrame([(i, 1, 0) for i in range(1000, 1400)] + own, LABELS), 40)
+    assert len(want[0]) and all(np.array_equal(x, y) for x, y in zip(got, want))
