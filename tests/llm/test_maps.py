@@ -256,16 +256,40 @@ def test_overlaps_match_brute_force(spark):
     assert got == brute_overlaps(docs, items) and len(got) > 8
 
 
-def test_overlaps_in_parts(spark, monkeypatch):
+def test_overlaps_by_join(spark, monkeypatch):
     rng = random.Random(1)
-    items = [(k, text(rng, 20)) for k in range(30)]
-    docs = documents(spark, [(k, f"{text(rng, 10)} {t} {text(rng, 10)}") for k, t in items] + [(99, text(rng, 80))])
-    bench = spark.createDataFrame(items, BENCH)
-    whole = sorted(map(tuple, dc.overlaps(docs, bench).collect()))
+    items = [(k, text(rng, 20)) for k in range(30)] + [(3, text(rng, 15)), (None, text(rng, 18))]
+    rows = [(k, f"{text(rng, 10)} {t} {text(rng, 10)}") for k, t in items if k is not None] + [(99, text(rng, 80)), (98, None), (97, "")]
+    docs = clashing(documents(spark, rows + [rows[0], (0, rows[1][1]), (None, rows[2][1])]))
+    bench = spark.createDataFrame([*items, items[0], (100, None)], BENCH)
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    whole, kept = key(dc.overlaps(docs, bench)), sorted((tuple(r) for r in dc.drop_contaminated(docs, bench).collect()), key=str)
     monkeypatch.setattr(dc, "MAX_HASHES", 700)
-    assert len(list(dc._parts(bench))) > 3
-    assert sorted(map(tuple, dc.overlaps(docs, bench).collect())) == whole and len(whole) == 30
-    assert [r.doc_id for r in dc.drop_contaminated(docs, bench).collect()] == [99]
+    assert key(dc.overlaps(docs, bench)) == whole and len(whole) == 36
+    out = dc.drop_contaminated(docs, bench)
+    assert out.columns == docs.columns and sorted((tuple(r) for r in out.collect()), key=str) == kept and {r[0] for r in kept} == {97, 98, 99}
+    monkeypatch.setattr(dc, "MAX_HASHES", -1)
+    assert dc.overlaps(docs, bench.limit(0)).collect() == [] and dc.overlaps(docs.limit(0), bench).collect() == []
+
+
+def test_repetitive_texts():
+    rng = random.Random(4)
+
+    def found(doc, item):
+        items = dc.TestItems.build([7], [item])
+        return {j: n for (_, j), (*_, n) in dc._verified(items, kernels.words(kernels.as_strings(pa.array([doc])))).items()}
+
+    for _ in range(60):
+        size = rng.randrange(1, 4)
+        doc = " ".join(rng.choice("abc"[:size]) for _ in range(rng.randrange(0, 40)))
+        item = " ".join(rng.choice("abc"[:size]) for _ in range(rng.randrange(6, 25)))
+        want = brute_overlaps([(0, doc)], [(0, item)])
+        assert found(doc, item) == {j: n for (_, j), n in want.items()}, (doc, item)
+    for word in ("a ", "a b ", "a b c ", "a b a c a b d "):
+        began = time.perf_counter()
+        assert found(word * 20_000, word * 400) == {0: 400 * len(word.split())}
+        assert found(word * 20_000, "z " + word * (398 // len(word.split())) + "z") == {0: 398 // len(word.split()) * len(word.split())}
+        assert time.perf_counter() - began < 20
 
 
 def test_odd_overlaps(spark):
@@ -281,8 +305,9 @@ def test_odd_overlaps(spark):
 
 
 def test_best_segment():
-    assert dc.best_segment(np.array([], dtype=bool)) == (0, 0, 0)
-    assert dc.best_segment(np.array([0, 1, 1, 1, 0, 1, 1, 1, 0, 0], dtype=bool)) == (1, 8, 6)
-    assert dc.best_segment(np.array([1, 1, 0, 1, 1, 1], dtype=bool)) == (0, 6, 5)
-    assert dc.best_segment(np.array([1, 1, 1, 0, 1, 1], dtype=bool)) == (0, 6, 5)
-    assert dc.best_segment(np.array([1, 1, 0, 1, 1], dtype=bool)) == (0, 5, 4)
+    best = lambda *x: tuple(int(v[0]) for v in dc.best_segments(np.array([x], dtype=bool)))
+    assert best() == (0, 0, 0) and best(0, 0) == (0, 0, 0)
+    assert best(0, 1, 1, 1, 0, 1, 1, 1, 0, 0) == (1, 8, 6)
+    assert best(1, 1, 0, 1, 1, 1) == (0, 6, 5)
+    assert best(1, 1, 1, 0, 1, 1) == (0, 6, 5)
+    assert best(1, 1, 0, 1, 1) == (0, 5, 4)
