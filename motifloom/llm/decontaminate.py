@@ -114,12 +114,22 @@ class TestItems:
                 start = base[w.row[first[at]]] + first[at] - w.bounds[w.row[first[at]]] - own - self.length[run] + 1
                 key = self.item[run] << _DIAGONAL_BITS | start
                 for k, diagonal in _expanded(key, length[at] + self.length[run] - 1):
-                    found = np.unique(np.concatenate([found, diagonal]))
+                    found = np.union1d(found, _distinct(diagonal)) if len(found) else _distinct(diagonal)
         item, place = found >> _DIAGONAL_BITS, found & (1 << _DIAGONAL_BITS) - 1
         row = np.searchsorted(base - reach, place, side="right") - 1
         return np.stack([item, row, place - base[row]], axis=1)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Ordered distinct values; by marking them where they lie close together."""
+    low = x.min()
+    if x.max() - low > 8 * _PIECE:
+        return np.unique(x)
+    seen = np.zeros(int(x.max() - low) + 1, dtype=bool)
+    seen[x - low] = True
+    return np.flatnonzero(seen) + low
+
+
 def _expanded(low: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(index, value): low[i], low[i] + 1, ... of n[i] values each, in pieces of bounded size."""
     end = np.cumsum(n)
