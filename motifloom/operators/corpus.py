@@ -8,7 +8,9 @@ as joins and aggregates on pattern keys.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,20 +19,28 @@ from pyspark.sql import functions as F
 
 from motifloom.config import Config, validate
 from motifloom.functions import arithmetic as ar
-from motifloom.functions.tokens import free_count, free_starts, has_reserved, normal_text, tokens
+from motifloom.functions.tokens import free_starts, has_reserved, normal_text, tokens
+from motifloom.sources.storage import settled
 
 from . import codec, importance, templates
 from . import patterns as pt
 
 _TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
-SMALL = 128 << 20  #: bytes of a table that one task may hold alone
+FEW_BYTES = 128 << 20  #: a table of fewer is spread over the cores
 ROWS = 50_000  #: of results that a kernel holds before it passes them on
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """Small tables over all cores, since a file of one row group is read by one task; large ones as they are, without a shuffle."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size < SMALL else docs
+    """Tables of few bytes over all cores, since a file of one row group is read by one task; others as they are, without a shuffle.
+
+    The plan alone depends on it, not the rows.  Where the plan can't be asked
+    for its size (over Spark Connect), it stays as it is.
+    """
+    try:
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return docs
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size < FEW_BYTES else docs
 
 
 def per_document(docs: DataFrame, schema: str, work: Callable[[object, list[str]], Iterator[tuple]], text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -141,13 +151,22 @@ def _inner(found: DataFrame) -> DataFrame:
 
 
 def containment(found: DataFrame) -> DataFrame:
-    """(doc_id, longer, shorter): which patterns contain which, by an equality join on the parts of the longer ones."""
+    """(doc_id, longer, shorter): which patterns contain which, by an equality join on the parts of the longer ones.
+
+    ``found`` is computed once, into the shared folder, as it is read twice.
+    """
+    found = settled(found)
+    return _contains(found)
+
+
+def _contains(found: DataFrame) -> DataFrame:
     short = found.select("doc_id", F.col("pattern").alias("shorter"))
     return _inner(found).select("doc_id", F.col("outer").alias("longer"), "shorter").distinct().join(short, ["doc_id", "shorter"]).select("doc_id", "longer", "shorter")
 
 
 def maximal(found: DataFrame) -> DataFrame:
-    """Patterns that no other contains."""
+    """Patterns that no other contains; ``found`` is computed once."""
+    found = settled(found)
     return found.join(_inner(found).select("doc_id", F.col("shorter").alias("pattern")).distinct(), ["doc_id", "pattern"], "left_anti")
 
 
@@ -159,7 +178,12 @@ def _covered(found: DataFrame) -> DataFrame:
 
 
 def without_subsumed(found: DataFrame, config: Config = Config()) -> DataFrame:
-    """(doc_id, pattern, length, n): maximal patterns, and of others the starts outside longer ones where enough pay."""
+    """(doc_id, pattern, length, n): maximal patterns, and of others the starts outside longer ones where enough pay.
+
+    For any table of candidates, which is computed once; :func:`pruned` does
+    the same while it discovers, without a shuffle.
+    """
+    found = settled(found)
     inside = _inner(found).select("doc_id", F.col("shorter").alias("pattern")).distinct().withColumn("inner", F.lit(True))
     marked = found.join(inside, ["doc_id", "pattern"], "left")
     whole = marked.filter("inner is null").select("doc_id", "pattern", "length", "n")
@@ -169,8 +193,13 @@ def without_subsumed(found: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def by_own_value(found: DataFrame, config: Config = Config()) -> DataFrame:
-    """(doc_id, pattern, n, covered, score): what patterns save beyond the longer ones that contain them."""
-    edges = containment(found)
+    """(doc_id, pattern, n, covered, score): what patterns save beyond the longer ones that contain them.
+
+    For any table of candidates, which is computed once, as are its edges;
+    :func:`own_values` does the same while it discovers, without a shuffle.
+    """
+    found = settled(found)
+    edges = settled(_contains(found))
     holds = edges.groupBy("doc_id", F.col("longer").alias("pattern")).agg(F.count("*").alias("holds"))
     within = edges.select("doc_id", F.col("shorter").alias("pattern")).distinct().withColumn("inner", F.lit(True))
     starts = found.select("doc_id", "pattern", F.explode("starts").alias("start"))
@@ -181,6 +210,26 @@ def by_own_value(found: DataFrame, config: Config = Config()) -> DataFrame:
     return rows.select("doc_id", "pattern", "n", "covered", F.round(score, 6).alias("score"))
 
 
+def pruned(docs: DataFrame, config: Config = Config()) -> DataFrame:
+    """(doc_id, pattern, length, n) of each document's candidates without those that longer ones subsume; no shuffle."""
+
+    def work(doc_id: object, words: list[str]) -> Iterator[tuple]:
+        for c in pt.without_subsumed(pt.ngrams(words, config), config):
+            yield doc_id, " ".join(c.tokens), c.length, len(c.starts)
+
+    return per_document(docs, "doc_id bigint, pattern string, length bigint, n bigint", work)
+
+
+def own_values(docs: DataFrame, config: Config = Config()) -> DataFrame:
+    """(doc_id, pattern, n, covered, score) of each document's candidates, as :func:`by_own_value` has them; no shuffle."""
+
+    def work(doc_id: object, words: list[str]) -> Iterator[tuple]:
+        for c, covered, score in pt.own_values(pt.ngrams(words, config), config):
+            yield doc_id, " ".join(c.tokens), len(c.starts), covered, round(score, 6)
+
+    return per_document(docs, "doc_id bigint, pattern string, n bigint, covered bigint, score double", work)
+
+
 def coverage(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, pattern, coverage): the share of its document that a pattern takes up, 1 at most."""
     from motifloom.functions.tokens import token_count
@@ -202,27 +251,39 @@ def importance_scores(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def bpe_round(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """(doc_id, left, right, n, savings): the best pair of each document; of equals the first in binary order.
+    """(doc_id, left, right, n, savings): the best pair of each document; of equals the first in binary order; no shuffle."""
 
-    Declarative: neighbours come from the token array itself, so the one
-    shuffle is the partially aggregated count of pairs.
-    """
-    w = F.col("w")
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.struct(i.alias("i"), F.get(w, i).alias("left"), F.get(w, i + 1).alias("right")))).otherwise(F.array().cast("array<struct<i:int,left:string,right:string>>"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens(F.col("text")).alias("w")).select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.*")
-    counted = rows.groupBy("doc_id", "left", "right").agg(F.sort_array(F.collect_list("i")).alias("s")).withColumn("n", free_count(F.col("s"), F.lit(2))).withColumn("savings", ar.raw_savings_column(F.lit(2), F.col("n"), config.extra)).filter("savings > 0")
-    by = Window.partitionBy("doc_id").orderBy(F.desc("savings"), "left", "right")
-    return counted.withColumn("r", F.row_number().over(by)).filter("r = 1").select("doc_id", "left", "right", "n", "savings")
+    def work(doc_id: object, words: list[str]) -> Iterator[tuple]:
+        count = Counter(zip(words, words[1:]))
+        for twice in [p for p in count if p[0] == p[1]]:
+            # of a run of one token every second place is free
+            count[twice] = sum(len(list(run)) // 2 for t, run in groupby(words) if t == twice[0])
+        if count:
+            most = max(count.values())
+            if (saved := ar.raw_savings(2, most, config.extra)) > 0:
+                yield doc_id, *min(p for p, n in count.items() if n == most), most, saved
+
+    return per_document(docs, "doc_id bigint, left string, right string, n bigint, savings bigint", work)
 
 
 def fuzzy_buckets(docs: DataFrame, length: int = 6) -> DataFrame:
-    """(doc_id, signature, variants, places): windows that share their tokens at even places and differ elsewhere."""
-    w = F.col("w")
-    grams = F.when(F.size(w) >= length, F.transform(F.sequence(F.lit(0), F.size(w) - length), lambda i: F.slice(w, i + 1, length))).otherwise(F.array().cast("array<array<string>>"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens(F.col("text")).alias("w")).select("doc_id", F.explode(grams).alias("g"))
-    signature = F.array_join(F.filter("g", lambda t, i: i % 2 == 0), " ")
-    counted = rows.groupBy("doc_id", signature.alias("signature"), F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("c"))
-    return counted.groupBy("doc_id", "signature").agg(F.count("*").alias("variants"), F.sum("c").alias("places")).filter("variants > 1")
+    """(doc_id, signature, variants, places): windows that share their tokens at even places and differ elsewhere; no shuffle."""
+
+    def work(doc_id: object, words: list[str]) -> Iterator[tuple]:
+        n = len(words) - length + 1
+        if n < 2:
+            return
+        even = list(zip(*(words[k : k + n] for k in range(0, length, 2))))
+        places = Counter(even)
+        variants: dict[tuple[str, ...], set[tuple[str, ...]]] = {}
+        for signature, rest in zip(even, zip(*(words[k : k + n] for k in range(1, length, 2)))):
+            if places[signature] > 1:
+                variants.setdefault(signature, set()).add(rest)
+        for signature, own in variants.items():
+            if len(own) > 1:
+                yield doc_id, " ".join(signature), len(own), places[signature]
+
+    return per_document(docs, "doc_id bigint, signature string, variants bigint, places bigint", work)
 
 
 _TEMPLATE = "doc_id bigint, frame string, slots int, instances bigint, savings bigint"

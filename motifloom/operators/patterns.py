@@ -404,13 +404,19 @@ def without_subsumed(candidates: Sequence[Candidate], config: Config = Config())
     return out
 
 
-def by_own_value(candidates: Sequence[Candidate], config: Config = Config()) -> list[tuple[Candidate, float]]:
-    """Candidates by what they save beyond the longer ones that contain them."""
+def own_values(candidates: Sequence[Candidate], config: Config = Config()) -> list[tuple[Candidate, int, float]]:
+    """Each candidate with how many of its starts longer ones cover, and what it saves beyond those."""
     inside = containment(candidates)
     holds = Counter(j for longer in inside.values() for j in longer)
-    scored = []
+    out = []
     for i, c in enumerate(candidates):
         base = max(0, raw_savings(c.length, len(c.starts), config.extra))
-        share = len(covered_starts(candidates, i, inside[i]) & set(c.starts)) / len(c.starts) if inside[i] and c.starts else 0.0
-        scored.append((c, base - 0.8 * base * share + (0.0 if inside[i] else 0.1 * base) + 0.5 * holds[i]))
-    return sorted(scored, key=lambda x: -x[1])
+        covered = len(covered_starts(candidates, i, inside[i]) & set(c.starts)) if inside[i] and c.starts else 0
+        share = covered / len(c.starts) if covered else 0.0
+        out.append((c, covered, base - 0.8 * base * share + (0.0 if inside[i] else 0.1 * base) + 0.5 * holds[i]))
+    return out
+
+
+def by_own_value(candidates: Sequence[Candidate], config: Config = Config()) -> list[tuple[Candidate, float]]:
+    """Candidates by what they save beyond the longer ones that contain them."""
+    return sorted(((c, score) for c, _, score in own_values(candidates, config)), key=lambda x: -x[1])

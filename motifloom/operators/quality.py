@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,11 +84,11 @@ def sdk_score(found: DataFrame, least_ratio: float, most_overhead: float, most_l
 _PERCENTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
-def summary(records: DataFrame, by: list[str] | None = None, exact: bool = True) -> DataFrame:
+def summary(records: DataFrame, by: list[str] | None = None, exact: bool = False) -> DataFrame:
     """One row (a group) of what records (compression_ratio, degradation, overhead, patterns_used, original_length, compressed_length, passed, latency_ms) come to.
 
-    Percentiles are exact; with ``exact=False`` they come from mergeable
-    sketches, for groups too large to sort.
+    Percentiles come from mergeable sketches, so groups may be of any size;
+    with ``exact=True`` they are exact, from all values of a group in one task.
     """
     at = F.percentile if exact else F.percentile_approx
     out: list[Column] = [F.count("*").alias("records")]
@@ -118,11 +121,28 @@ def alerts(summaries: DataFrame, rules: list[tuple[str, float, float]] | None =
 
 
 def cooled(raised: DataFrame, seconds: float, key: str = "metric", at: str = "ts") -> DataFrame:
-    """Alerts at least so long after the one of the same key before them that was let through."""
-    gathered = raised.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.struct(*raised.columns).alias("row")))).alias("a"))
-    start = F.struct(F.array().cast(gathered.schema["a"].dataType).alias("kept"), F.lit(float("-inf")).alias("last"))
-    kept = F.aggregate("a", start, lambda s, x: F.when(x["t"] - s["last"] >= seconds, F.struct(F.concat(s["kept"], F.array(x)).alias("kept"), x["t"].alias("last"))).otherwise(s))["kept"]
-    return gathered.select(F.explode(kept).alias("x")).select("x.row.*")
+    """Alerts at least so long after the one of the same key before them that was let through.
+
+    One pass over each key in the order of time, a batch of rows at a time;
+    the key and the time let through last are all that is remembered.
+    """
+    kind, names = raised.schema, raised.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = None
+        last, begun = float("-inf"), False
+        for b in batches:
+            let = []
+            for k, t in zip(b.column(key).to_pylist(), b.column("_t").to_pylist()):
+                if not begun or k != now:
+                    now, last, begun = k, float("-inf"), True
+                let.append(t is not None and t - last >= seconds)
+                if let[-1]:
+                    last = t
+            yield b.filter(pa.array(let, pa.bool_())).select(names)
+
+    placed = raised.withColumn("_t", F.col(at).cast("double")).repartition(key).sortWithinPartitions(key, "_t")
+    return placed.mapInArrow(keep, kind)
 
 
 def baseline(records: DataFrame, metric: str, at: str = "ts", last: int = 100, least: int = 10) -> DataFrame:
@@ -184,7 +204,7 @@ def advice(savings_percent: Column) -> Column:
 
 
 #: dollars for a million input tokens: a table to replace with one's own
-PRICES = {"small": 0.5, "medium": 1.75, "large": 2.0, "largest": 5.0}
+PRICES = {"basic": 0.5, "medium": 1.75, "large": 2.0, "largest": 5.0}
 
 
 def cost(saved: DataFrame, prices: DataFrame) -> DataFrame:

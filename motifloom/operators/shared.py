@@ -11,18 +11,29 @@ from pyspark.sql import functions as F
 from motifloom.config import Config
 from motifloom.functions import arithmetic as ar
 from motifloom.functions.tokens import token_count
+from motifloom.sources.storage import unused
 
 from .corpus import candidates, per_document
 
 
 def without_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The first document of each text; texts meet by hash, so none of them is moved to be compared.
+    """One row of each text: that of the smallest key, a null key coming last.
 
-    Null texts are alike; of equal keys any one row stays.
+    Null and empty texts are alike; of equal keys one row stays, whichever its
+    other columns put first.  Texts meet by hash, and each task passes on only
+    its first row of each, so a text that many rows share isn't shuffled for
+    all of them.
     """
-    hashed = docs.withColumn("_hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    first = hashed.groupBy("_hash").agg(F.min(key).alias("_first"))  # partially aggregated: a hash and a key a text
-    return hashed.join(first, (hashed["_hash"] == first["_hash"]) & (hashed[key] == first["_first"]), "left_semi").drop("_hash")
+    own, place = unused(docs, "hash"), unused(docs, "place")
+    by = Window.partitionBy(own).orderBy(F.col(key).asc_nulls_last(), F.xxhash64(*docs.columns))
+    ranked = docs.withColumn(own, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).withColumn(place, F.row_number().over(by))
+    return ranked.filter(F.col(place) == 1).drop(own, place)
+
+
+def duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(hash, doc_id, copies) of each text: the key that stays for it, null only if it has no other, and how many rows have it; partially aggregated."""
+    own = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    return docs.groupBy(own.alias("hash")).agg(F.min(key).alias("doc_id"), F.count("*").alias("copies"))
 
 
 def preprocessed(docs: DataFrame, least: int = 1, most: int = 0, text: str = "text") -> DataFrame:
@@ -73,10 +84,11 @@ def static_dictionary(docs: DataFrame, config: Config = Config(), entries: int =
 _STATE = ["pattern", "length", "frequency", "occurrences", "savings", "first_seen", "last_seen"]
 
 
-def learned(cache: DataFrame | None, found: DataFrame, at: int, config: Config = Config(), most: int = 100_000) -> DataFrame:
+def learned(cache: DataFrame | None, found: DataFrame, at: int, config: Config = Config(), most: int | None = None) -> DataFrame:
     """The cache (pattern, length, frequency, occurrences, savings, first_seen, last_seen) after the patterns (pattern, length, n) of one operation ``at``.
 
-    Beyond ``most`` patterns the best four fifths of that stay.
+    All patterns stay, unless ``most`` is given: beyond so many the best four
+    fifths of that do.
     """
     kept = found.filter(F.col("length").between(config.min_length, config.max_length))
     new = kept.groupBy("pattern", "length").agg(F.count("*").alias("frequency"), F.sum("n").alias("occurrences"), F.sum(ar.savings_column(F.col("length"), F.col("n"), config.extra)).alias("savings"))
@@ -84,7 +96,7 @@ def learned(cache: DataFrame | None, found: DataFrame, at: int, config: Config =
     if cache is not None:
         rows = cache.select(*_STATE).unionByName(rows)
         rows = rows.groupBy("pattern", "length").agg(*[F.sum(c).alias(c) for c in ("frequency", "occurrences", "savings")], F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")).select(*_STATE)
-    if rows.count() <= most:
+    if most is None or rows.count() <= most:
         return rows
     return rows.orderBy(F.desc(cache_score(F.lit(at))), "pattern").limit(most * 4 // 5)
 

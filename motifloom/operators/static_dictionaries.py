@@ -66,7 +66,7 @@ def load(path: str) -> str:
 
 
 def table(spark: SparkSession) -> DataFrame:
-    """(identifier, ord, meta, phrase) of all known dictionaries; small enough to broadcast."""
+    """(identifier, ord, meta, phrase) of all known dictionaries: some dozens of rows."""
     rows = [(k, i, m, " ".join(p)) for k, v in sorted(_ENTRIES.items()) for i, (m, p) in enumerate(v.items())]
     return spark.createDataFrame(rows, "identifier string, ord int, meta string, phrase string")
 

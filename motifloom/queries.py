@@ -70,7 +70,7 @@ def token_diversity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT min(doc_id) AS doc_id, sha256(coalesce(text, '')) AS hash, count(*) AS copies FROM documents GROUP BY 2")
 def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return _docs(spark, folder).groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return shared.duplicates(_docs(spark, folder))
 
 
 @query(f"SELECT doc_id, source, n AS n_tokens FROM (SELECT *, CAST(CASE WHEN {_FLAT} = '' THEN 0 ELSE len(string_split({_FLAT}, ' ')) END AS BIGINT) AS n, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS r FROM documents) WHERE r = 1 AND n BETWEEN 5 AND 5000")
@@ -122,7 +122,7 @@ own AS (SELECT doc_id, pattern, length, unnest(starts) AS u FROM st), inn AS (SE
 @query(f"""WITH {_COVER} SELECT doc_id, pattern, CAST(length AS BIGINT) AS length, n FROM st ANTI JOIN inn USING (doc_id, pattern)
 UNION ALL SELECT doc_id, pattern, CAST(length AS BIGINT), count(*) FROM (SELECT own.* FROM own ANTI JOIN cov USING (doc_id, pattern, u)) x SEMI JOIN inn USING (doc_id, pattern) GROUP BY ALL HAVING count(*) >= 2 AND length * count(*) > 2 + length + count(*)""")
 def pruned_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.without_subsumed(corpus.candidates(_docs(spark, folder), CONFIG), CONFIG)
+    return corpus.pruned(_docs(spark, folder), CONFIG)
 
 
 @query(f"""WITH {_COVER}, e AS (SELECT DISTINCT p.doc_id, outer_, inner_ FROM p JOIN cand c ON c.doc_id = p.doc_id AND c.pattern = p.inner_), h AS (SELECT doc_id, outer_ AS pattern, count(*) AS h FROM e GROUP BY ALL),
@@ -130,7 +130,7 @@ c AS (SELECT doc_id, pattern, count(*) AS covered FROM own SEMI JOIN cov USING (
 SELECT b.doc_id, b.pattern, b.n, CAST(coalesce(covered, 0) AS BIGINT) AS covered, round(base - base * coalesce(covered, 0) / n * 0.8 + CASE WHEN i.pattern IS NULL THEN base * 0.1 ELSE 0 END + coalesce(h, 0) * 0.5, 6) AS score
 FROM b LEFT JOIN h USING (doc_id, pattern) LEFT JOIN c USING (doc_id, pattern) LEFT JOIN (SELECT DISTINCT doc_id, inner_ AS pattern FROM e) i ON i.doc_id = b.doc_id AND i.pattern = b.pattern""")
 def independent_value(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.by_own_value(corpus.candidates(_docs(spark, folder), CONFIG), CONFIG)
+    return corpus.own_values(_docs(spark, folder), CONFIG)
 
 
 @query(f"WITH {_CANDIDATES} SELECT doc_id, pattern, round(least(1.0, n * length / len(w)), 6) AS coverage FROM cand JOIN w USING (doc_id)")
@@ -323,7 +323,7 @@ def _log(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {_LOG} SELECT source, count(*) AS records, round(avg(r), 6) AS ratio_mean, round(quantile_cont(r, 0.5), 6) AS ratio_p50, round(quantile_cont(r, 0.95), 6) AS ratio_p95, round(quantile_cont(d, 0.99), 6) AS degradation_p99, max(o) AS overhead_max,
 round(avg(p), 6) AS patterns_mean, round(count(*) FILTER (NOT ok) / count(*), 6) AS failure_rate, CAST(sum(a) AS BIGINT) AS tokens_processed, CAST(sum(a - b) AS BIGINT) AS tokens_saved, round(coalesce(avg(ms) FILTER (ms > 0), 0), 6) AS latency_mean FROM log GROUP BY source""")
 def quality_summary(spark: SparkSession, folder: str) -> DataFrame:
-    s = quality.summary(_log(spark, folder), ["source"])
+    s = quality.summary(_log(spark, folder), ["source"], exact=True)
     r = lambda c, n: F.round(c, 6).alias(n)
     return s.select("source", "records", r("compression_ratio_mean", "ratio_mean"), r("compression_ratio_p50", "ratio_p50"), r("compression_ratio_p95", "ratio_p95"), r("degradation_p99", "degradation_p99"), "overhead_max", r("patterns_mean", "patterns_mean"), r("failure_rate", "failure_rate"), "tokens_processed", "tokens_saved", r("latency_mean", "latency_mean"))
 
@@ -332,7 +332,7 @@ def quality_summary(spark: SparkSession, folder: str) -> DataFrame:
 l AS (SELECT source, unnest([{{'m': 'compression_ratio_mean', 'v': a, 'w': 0.85, 'c': 0.95}}, {{'m': 'compression_ratio_p95', 'v': b, 'w': 0.9, 'c': 0.98}}, {{'m': 'degradation_mean', 'v': c, 'w': 0.03, 'c': 0.08}}, {{'m': 'degradation_p95', 'v': e, 'w': 0.05, 'c': 0.1}}, {{'m': 'overhead_mean', 'v': f, 'w': 0.4, 'c': 0.6}}, {{'m': 'failure_rate', 'v': g, 'w': 0.01, 'c': 0.05}}]) AS x FROM s)
 SELECT source, x.m AS metric, round(x.v, 6) AS value, CASE WHEN x.v >= x.c THEN 'critical' ELSE 'warning' END AS severity, CAST(CASE WHEN x.v >= x.c THEN x.c ELSE x.w END AS DOUBLE) AS threshold FROM l WHERE x.v >= x.w""")
 def quality_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    raised = quality.alerts(quality.summary(_log(spark, folder), ["source"]), keys=["source"])
+    raised = quality.alerts(quality.summary(_log(spark, folder), ["source"], exact=True), keys=["source"])
     return raised.withColumn("value", F.round("value", 6))
 
 
@@ -446,7 +446,7 @@ def vocabulary_plan(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {_CANDIDATES}, c AS (SELECT pattern, CAST(length AS BIGINT) AS length, count(*) AS frequency, CAST(sum(n) AS BIGINT) AS occurrences, CAST(sum(greatest(length * n - 2 - length - n, 0)) AS BIGINT) AS savings FROM cand GROUP BY ALL)
 SELECT pattern, length, frequency, occurrences, savings FROM c""")
 def pattern_cache(spark: SparkSession, folder: str) -> DataFrame:
-    return shared.learned(None, corpus.candidates(_docs(spark, folder), CONFIG), 0, CONFIG, most=10**9).select("pattern", "length", "frequency", "occurrences", "savings")
+    return shared.learned(None, corpus.candidates(_docs(spark, folder), CONFIG), 0, CONFIG).select("pattern", "length", "frequency", "occurrences", "savings")
 
 
 @query()

@@ -67,10 +67,10 @@ class Sentences:
         return self.own.encode(texts).tolist()
 
 
-#: where each service takes its requests, and its usual model
+#: where each service takes its requests, and its usual model, if it has one
 SERVICES = {
     "ollama": ("http://localhost:11434/api/embed", "nomic-embed-text", lambda r: r["embeddings"]),
-    "openai": ("https://api.openai.com/v1/embeddings", "text-embedding-3-small", None),
+    "openai": ("https://api.openai.com/v1/embeddings", None, None),
     "voyage": ("https://api.voyageai.com/v1/embeddings", "voyage-3", None),
     "cohere": ("https://api.cohere.com/compatibility/v1/embeddings", "embed-english-v3.0", None),
 }
@@ -87,6 +87,8 @@ def provider(kind: str, model: str | None = None, key: str | None = None, **more
     if kind not in SERVICES:
         raise ValueError(f"Unknown embedding provider: {kind}")
     url, usual, pick = SERVICES[kind]
+    if not (model or usual):
+        raise ValueError(f"{kind} needs the name of a model")
     return Http(url, model or usual, key, pick)
 
 

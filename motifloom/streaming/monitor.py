@@ -40,16 +40,19 @@ def watched(records: DataFrame, folder: str, on_alert: Callable[[DataFrame, int]
     return records.writeStream.foreachBatch(check).option("checkpointLocation", folder).start()
 
 
-def learning(found: DataFrame, folder: str, table: str, most: int = 100_000) -> StreamingQuery:
+def learning(found: DataFrame, folder: str, table: str, most: int | None = None, versions: int = 3) -> StreamingQuery:
     """Starts a query that adds the patterns (pattern, length, n) of each micro-batch to a table of them.
 
-    Each batch writes a new version beside the last and deletes none, so one
-    that is run again finds its input unchanged.
+    Each batch writes a new version beside the last, so one that is run again
+    finds its input unchanged; of the versions the latest ``versions`` stay.
     """
 
     def learn(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(f"{table}/{n - 1}") if n else None
         shared.learned(before, batch, n, most=most).write.mode("overwrite").parquet(f"{table}/{n}")
+        if n >= max(2, versions):  # the one before is read again if this batch is
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{n - max(2, versions)}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return found.writeStream.foreachBatch(learn).option("checkpointLocation", folder).start()
