@@ -2,46 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from motifloom.sources.storage import settled as checkpoint
+from motifloom.sources.storage import shared_folder, unused
+
 from . import kernels
 
+__all__ = ["binary", "checkpoint", "over_slices", "record", "shared_folder", "table", "unused"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where that is unset (as in tests) one is made on this machine.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="motifloom-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that all executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def over_slices(work: Callable[[pa.Array, pa.RecordBatch], pa.RecordBatch | None], text: str = "text", size: int = kernels.SLICE_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A ``mapInArrow`` function: ``work(texts, rows)`` on slices of bounded bytes."""
 
