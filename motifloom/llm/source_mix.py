@@ -14,8 +14,11 @@ temperature-scaled shares of the supply: proportional to tokens ** 1.0, 0.7
 and 0.5 at times 0, 0.5 and 1.
 
 Within a source the order is that of ``md5(doc_id)``.  Running sums over it are
-taken in two levels, first over 4096 ranges of the hash and then inside each
-range, so no task ever holds a whole source, however large.
+taken in two levels, first over ranges of the hash and then inside each range.
+A source of more rows is cut by more digits of the hash, so that a range has
+``RANGE_ROWS`` rows at most, on average, however large the source is.  What is
+known of sources and ranges is broadcast while it is ``MAX_BROADCAST`` rows at
+most and joined by shuffling otherwise.
 
 Defined results: a null source is a source of its own; a null ``doc_id`` sorts
 by the hash of the empty string; null and empty texts have 0 tokens and take
@@ -27,6 +30,7 @@ own; an empty table gives an empty one; other columns are kept by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,8 +40,8 @@ from . import common
 
 KNOTS = (0.0, 0.5, 1.0)
 EXPONENTS = (1.0, 0.7, 0.5)
-_NULL = "\x00"  #: stands for a null source
-_SMALL_MB = 64
+RANGE_ROWS = 10_000
+MAX_BROADCAST = 100_000  #: rows of about 200 bytes
 
 
 def n_tokens(text: Column) -> Column:
@@ -77,9 +81,15 @@ def _inverse(x: Column, knots: Sequence[float]) -> Column:
     return F.least(F.greatest(result, F.lit(0.0)), F.lit(1.0))
 
 
+def _listed(known: DataFrame) -> DataFrame:
+    return F.broadcast(known) if known.count() <= MAX_BROADCAST else known
+
+
 def _placed(rows: DataFrame, knots: Sequence[float], exponents: Sequence[float]) -> DataFrame:
     """Adds ``_epoch`` and ``_position`` to rows that have ``_source``, ``_key``, ``_id`` and ``_n``."""
-    rows = rows.withColumn("_range", F.substring("_key", 1, 3))
+    size = common.checkpoint(rows.groupBy("_source").agg(F.count("*").alias("_rows")))  # texts aren't read for it
+    digits = F.greatest(F.ceil(F.log(F.col("_rows") / RANGE_ROWS) / math.log(16)), F.lit(0)).cast("int")
+    rows = rows.join(_listed(size.select("_source", digits.alias("_digits"))), "_source").withColumn("_range", F.expr("substring(_key, 1, _digits)")).drop("_digits")
     ranges = common.checkpoint(rows.groupBy("_source", "_range").agg(F.sum("_n").alias("in_range")))
     supply = ranges.groupBy(F.col("_source").alias("source")).agg(F.sum("in_range").alias("s"))
     weights = schedule(supply, exponents).withColumn("all", _demand(knots)[-1])
@@ -88,11 +98,8 @@ def _placed(rows: DataFrame, knots: Sequence[float], exponents: Sequence[float])
     weights = weights.crossJoin(F.broadcast(tokens)).withColumnRenamed("source", "_source")
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = common.checkpoint(ranges.withColumn("_before", F.coalesce(F.sum("in_range").over(before), F.lit(0))).drop("in_range").join(weights, "_source"))
-    # at most 4096 rows a source: broadcast as long as the sources are few
-    if starts.count() * 200 < _SMALL_MB << 20:
-        starts = F.broadcast(starts)
     inside = Window.partitionBy("_source", "_range").orderBy("_key", "_id", "_n").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, ["_source", "_range"])
+    rows = rows.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(_listed(starts), ["_source", "_range"])
     start = F.col("_before") + F.col("_in")
     again = F.when(F.col("s") > 0, F.greatest(F.ceil((F.col("tokens") * F.col("all") - start) / F.col("s") - 1e-9) - 1, F.lit(0))).otherwise(0).cast("int")
     rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), again)))
@@ -103,7 +110,7 @@ def _placed(rows: DataFrame, knots: Sequence[float], exponents: Sequence[float])
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns(
         {
-            "_source": F.coalesce(F.col("source").cast("string"), F.lit(_NULL)),
+            "_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),  # a null source is like no other
             "_id": F.col("doc_id").cast("bigint"),
             "_key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
             "_n": n_tokens(F.col("text")),

@@ -38,6 +38,17 @@ def test_mix_matches_sql(spark):
     assert [r.position for r in got] == sorted(r.position for r in got)
 
 
+def test_mix_in_ranges(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = documents(spark, [(i, text(rng, rng.randrange(1, 20), 400), rng.choice(["web"] * 8 + ["books", "\x00", None])) for i in range(500)])
+    want = placed(sql(source_mix.ORACLE_SQL, documents=docs))
+    for rows, most in ((3, 10**6), (40, 10**6), (3, -1)):
+        monkeypatch.setattr(source_mix, "RANGE_ROWS", rows)
+        monkeypatch.setattr(source_mix, "MAX_BROADCAST", most)
+        assert placed(source_mix.positions(docs).select("doc_id", "source", "n_tokens", "epoch", "position").collect()) == want
+    assert {s for _, s, *_ in want} == {"web", "books", "\x00", None}
+
+
 def test_mix_follows_the_weights(spark):
     """At any time each source has supplied what its integrated weight asks for, but for one document."""
     docs = corpus(spark)
