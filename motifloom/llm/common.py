@@ -13,7 +13,7 @@ from motifloom.sources.storage import shared_folder, unused
 
 from . import kernels
 
-__all__ = ["binary", "checkpoint", "over_slices", "record", "shared_folder", "table", "unused"]
+__all__ = ["binary", "bit_table", "checkpoint", "may_have", "over_slices", "record", "shared_folder", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,33 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
+    """2 ** bits bits: which leading digits the 64-bit hashes ``h`` have.
+
+    Merged from four tasks, so of fixed size on its way to the driver,
+    whatever the number of hashes.
+    """
+    schema = pa.schema([("bits", pa.binary())])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << bits - 3, dtype=np.uint8)
+        for b in batches:
+            h = b.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            np.bitwise_or.at(own, (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
+        yield record(schema, binary([own]))
+
+    out = np.zeros(1 << bits - 3, dtype=np.uint8)
+    for r in hashes.select("h").repartition(4).mapInArrow(merge, "bits binary").collect():
+        out |= np.frombuffer(r[0], dtype=np.uint8)
+    return out
+
+
+def may_have(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Whether a hash may be among those of a bit table: never false for one that is."""
+    h = h >> np.uint64(64 - bits)
+    return (table[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def binary(rows: list[np.ndarray]) -> pa.Array:
     """Each array's bytes as one binary value."""
     return pa.array([x.tobytes() for x in rows], type=pa.binary())

@@ -223,7 +223,7 @@ def _seeds(texts: DataFrame, key: str, text: str, known: np.ndarray | None = Non
             h = kernels.rolled(w.hash, _offsets(mask)) ^ np.uint64(m)
             ok = kernels.same_row(w.row, len(mask) - 1)
             if shared.value is not None:
-                ok &= (shared.value[h >> np.uint64(64 - _FILTER_BITS + 3)] >> (h >> np.uint64(64 - _FILTER_BITS) & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                ok &= common.may_have(shared.value, h, _FILTER_BITS)
             found.append(np.stack([h[ok].view(np.int64), w.row[: len(h)][ok]]))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return common.record(schema, pairs[0], batch.column(key).take(pa.array(pairs[1])))
@@ -231,28 +231,11 @@ def _seeds(texts: DataFrame, key: str, text: str, known: np.ndarray | None = Non
     return texts.mapInArrow(common.over_slices(work, text), f"h bigint, {key} string")
 
 
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """2 ** _FILTER_BITS bits: which leading digits the hashes have; merged from four tasks, so of fixed size on its way."""
-    schema = pa.schema([("bits", pa.binary())])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << _FILTER_BITS - 3, dtype=np.uint8)
-        for b in batches:
-            h = b.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - _FILTER_BITS)
-            np.bitwise_or.at(bits, (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
-        yield common.record(schema, common.binary([bits]))
-
-    out = np.zeros(1 << _FILTER_BITS - 3, dtype=np.uint8)
-    for r in seeds.select("h").repartition(4).mapInArrow(merge, "bits binary").collect():
-        out |= np.frombuffer(r[0], dtype=np.uint8)
-    return out
-
-
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(dk, ik, doc_word, item_word, n_words, n_matched) of texts that overlap: hashes joined by shuffling, then each pair verified."""
     doc, item = _texts(docs, "dk", "doc"), _texts(items, "ik", "item")
     own = common.checkpoint(_seeds(item, "ik", "item"))
-    pairs = common.checkpoint(_seeds(doc, "dk", "doc", _filter(own)).join(own, "h").select("dk", "ik").distinct())
+    pairs = common.checkpoint(_seeds(doc, "dk", "doc", common.bit_table(own, _FILTER_BITS)).join(own, "h").select("dk", "ik").distinct())
     schema = pa.schema([("dk", pa.string()), ("ik", pa.string()), *list(_OVERLAP)[2:]])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

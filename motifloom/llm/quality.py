@@ -10,7 +10,11 @@ grid of scores).
 
 Every labelled document takes part: one in five, by the hash of its id, in the
 calibration and the others in the fit.  What reaches the driver has a fixed
-size: the normal equations and the grid.
+size: the normal equations, the grid, and a table of bits that spares most
+documents without a label from being described for the fit.
+
+Letters beyond ASCII, of any script, count as lower-case ones, and words are
+measured in characters, not in bytes.
 
 Defined results: null and empty texts have all statistics 0 and are scored
 like any other; labels that are null or of no document are not used; without
@@ -40,7 +44,7 @@ RIDGE = 1e-3  #: a row
 GRID = 4096  #: cells of the score, from -1 to 2
 KEEP = 0.5
 SEED = 20240229
-SMALL = 4_000_000  #: so many labels are few enough to tell every task which documents have one
+_LABEL_BITS = 24  #: of the table that tells which documents may have a label
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
@@ -61,7 +65,8 @@ def statistics(texts: pa.Array) -> np.ndarray:
     w = kernels.words(texts)
     n_words = np.diff(w.bounds)
     per = np.maximum(1, n_words)
-    width = w.end - w.start
+    begun = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+    width = begun[w.end] - begun[w.start]
     sums = lambda x: np.bincount(w.row, weights=x, minlength=n)
     key = np.unique(w.row.astype(np.uint64) << np.uint64(44) | w.hash >> np.uint64(20))
     distinct = np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=n)
@@ -88,7 +93,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 _KIND = np.zeros(256, dtype=np.uint8)
 for _k, _chars in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#$%&*@^~<>{}[]\\=+_!", "|", " \t", "\n", "abcdefghijklmnopqrstuvwxyz"), 1):
     _KIND[[ord(c) for c in _chars]] = _k
-_KIND[0xC3] = 7  # most letters with marks begin so
+_KIND[[*range(0xC3, 0xE2), *range(0xE3, 0xEE)]] = 7  # how letters beyond ASCII begin; signs and pictures begin otherwise
 
 
 @dataclass
@@ -170,19 +175,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the labelled documents of ``docs``."""
 
     known = labels.selectExpr("cast(doc_id as bigint) doc_id", "cast(quality as int) y").filter("doc_id is not null and y is not null")
-    # statistics of the labelled documents alone where the labels are few; with more the join sorts them out
-    ids = np.sort(known.select("doc_id").toArrow()["doc_id"].to_numpy()) if known.count() <= SMALL else None
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
+    # documents that surely have no label aren't described; the join sorts out the others
+    shared = docs.sparkSession.sparkContext.broadcast(common.bit_table(known.select(F.xxhash64("doc_id").alias("h")), _LABEL_BITS))
 
     def describe(texts: pa.Array, batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        own, doc_ids = shared.value, batch.column("doc_id")
-        if own is not None:
-            asked = pa.array(np.isin(doc_ids.to_numpy(), own))
-            texts, doc_ids = texts.filter(asked), doc_ids.filter(asked)
+        asked = pa.array(common.may_have(shared.value, batch.column("h").to_numpy().view(np.uint64), _LABEL_BITS))
+        texts, doc_ids = texts.filter(asked), batch.column("doc_id").filter(asked)
         return common.record(_LABELLED, doc_ids, common.binary(list(statistics(texts)))) if len(texts) else None
 
     # a hundred bytes a document, and no text, go through the join
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").filter("doc_id is not null").mapInArrow(common.over_slices(describe), "doc_id bigint, x binary").join(known, "doc_id")
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(cast(doc_id as bigint)) h", "text").filter("doc_id is not null").mapInArrow(common.over_slices(describe), "doc_id bigint, x binary").join(known, "doc_id")
     rows = common.checkpoint(rows.select("x", "y", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held")))
     fitted = rows.filter("not held")
 

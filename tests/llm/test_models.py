@@ -10,7 +10,7 @@ import pytest
 
 from motifloom.llm import kernels, quality, toxicity, url_filter
 
-from .helpers import clashing, documents, odd, text, words
+from .helpers import clashing, documents, odd, split, text, words
 
 LABELS = "doc_id bigint, quality int, toxic int"
 
@@ -36,6 +36,45 @@ def test_statistics():
     assert named["log_words"] == pytest.approx(math.log(5)) and named["upper"] == pytest.approx(1 / 3) and named["digits"] == pytest.approx(2 / 19) and named["bars"] == pytest.approx(2 / 19)
 
 
+def test_letters_of_any_script():
+    latin, cyrillic, cjk, signs = quality.statistics(kernels.as_strings(pa.array(["Abcd efgh ij", "\u0410\u0431\u0432\u0433 \u0434\u0435\u0436\u0437 \u0438\u0439", "\u6f22\u5b57\u6f22\u5b57 \u6f22\u5b57\u5b57\u6f22 \u5b57\u6f22", "A \u201c\u00ab\U0001f600"])))
+    at = quality.STATISTICS.index
+    for k in ("log_words", "word_length", "long_words", "stop_share", "distinct_words", "spaces"):
+        assert latin[at(k)] == pytest.approx(cyrillic[at(k)]) == pytest.approx(cjk[at(k)]), k
+    assert signs[at("upper")] == 1.0 and cyrillic[at("upper")] == 0
+
+
+def test_statistics_by_counting():
+    rng, stop = random.Random(8), set("#$%&*@^~<>{}[]\\=+_!")
+    texts = ["".join(rng.choice(["a", "b", "Q", "7", " ", " ", "\n", "|", "#", "\u00e9", "\u0434", "\u6f22", "longlonglongword", "a a a"]) for _ in range(rng.randrange(0, 60))) for _ in range(80)]
+    for t, x in zip(texts, quality.statistics(kernels.as_strings(pa.array(texts)))):
+        w, n = split(t), max(1, len(t))
+        letters = sum(c.isalpha() for c in t)
+        per = max(1, len(w))
+        want = [math.log1p(len(w)), min(20, sum(map(len, w)) / per), sum("A" <= c <= "Z" for c in t) / max(1, letters), sum("0" <= c <= "9" for c in t) / n, sum(c in stop for c in t) / n, t.count("|") / n, (t.count(" ") + t.count("\t")) / n]
+        want += [math.log1p(len(t.encode()) / (t.count("\n") + 1)), len(set(w)) / per * math.log1p(per), sum(a == b for a, b in zip(w, w[1:])) / per, sum(len(x) > 12 for x in w) / per, sum(len(x) <= 3 for x in w) / per]
+        assert x.tolist() == pytest.approx(want), t
+
+
+def test_fit_against_one_direct_solution(spark):
+    """Ridge and calibration from all labelled rows at once, without partitions."""
+    rows, labels = graded(random.Random(12), 400)
+    model = quality.fit(documents(spark, rows).repartition(5), spark.createDataFrame(labels + [(99_999, 1, 0), (None, 1, 0), (3, None, 0)], LABELS))
+    held = {r.doc_id for r in spark.createDataFrame(labels, LABELS).filter("pmod(xxhash64(doc_id), 5) = 0").collect()}
+    x, y = quality.statistics(kernels.as_strings(pa.array([t for _, t in rows]))), np.array([q for _, q, _ in labels], dtype=float)
+    fit = np.array([i not in held for i, _ in rows])
+    mean, scale = x[fit].mean(0), x[fit].std(0) + quality.LEAST_SCALE
+    rng = np.random.default_rng(quality.SEED)
+    direction, phase = rng.normal(0, 1 / quality.BANDWIDTH, (x.shape[1], quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((x - mean) / scale, -8, 8) @ direction + phase), np.ones((len(x), 1))])
+    k = z.shape[1]
+    weight = np.linalg.lstsq(np.vstack([z[fit], np.sqrt(quality.RIDGE * fit.sum() / k) * np.eye(k)]), np.concatenate([y[fit], np.zeros(k)]), rcond=None)[0]
+    assert np.allclose(z @ weight, model.score(x), atol=1e-5)
+    cells = quality.cell(z @ weight)
+    curve = quality.isotonic(np.bincount(cells[~fit], minlength=quality.GRID), np.bincount(cells[~fit], weights=y[~fit], minlength=quality.GRID))
+    assert (np.abs(curve - model.curve) < 1e-9).mean() > 0.99
+
+
 def test_fourier_approximates_the_kernel():
     rng = np.random.default_rng(0)
     direction, phase = rng.normal(0, 1 / 2.0, (3, 20000)), rng.uniform(0, 2 * np.pi, 20000)
