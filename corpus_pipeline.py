@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from motifloom.llm import common, decontaminate, near_dedup, quality, secret_scan, source_mix
+from motifloom.sources.storage import remove
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +53,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents after all stages; between stages they are written to the shared checkpoint folder."""
+    """The documents after all stages; between stages they are written to the shared checkpoint folder.
+
+    A stage's table goes once the next one is written; that of the last but
+    one stays, as the rows returned are read from it.
+    """
     docs = common.table(spark, sf_dir, "documents")
-    folder = common.shared_folder(spark) + f"/pipeline-{uuid.uuid4().hex}"
+    folder, before = common.shared_folder(spark) + f"/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from motifloom.operators import quality, shared
+from motifloom.sources.storage import remove
 
 
 def windowed(records: DataFrame, metric: str, at: str = "ts", size: str = "1 hour", slide: str | None = None, late: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -52,7 +53,6 @@ def learning(found: DataFrame, folder: str, table: str, most: int | None = None,
         before = spark.read.parquet(f"{table}/{n - 1}") if n else None
         shared.learned(before, batch, n, most=most).write.mode("overwrite").parquet(f"{table}/{n}")
         if n >= max(2, versions):  # the one before is read again if this batch is
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{n - max(2, versions)}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+            remove(spark, f"{table}/{n - max(2, versions)}")
 
     return found.writeStream.foreachBatch(learn).option("checkpointLocation", folder).start()
