@@ -1,11 +1,20 @@
 """The pipeline: what each stage keeps, over tables with planted cases."""
 
+import glob
+import os
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
-from motifloom.llm import common, decontaminate, near_dedup, quality, secret_scan, source_mix
+from motifloom.llm import kernels, quality, secret_scan, source_mix
+from motifloom.sources.storage import shared_folder
 
-from .helpers import documents, odd, text, words
+from .helpers import documents, odd, text
+from .test_maps import brute_overlaps, brute_secrets
+from .test_mix_and_search import sql
+from .test_near_dedup import brute as brute_copies
 
 SECRET = "AKIA" + "Q7ZP3MX5WT2KBN4J"
 
@@ -65,18 +74,35 @@ def test_odd_rows_pass_all_stages(spark, tmp_path):
         assert stage[1](spark, docs.limit(0), str(tmp_path)).collect() == []
 
 
-def test_stages_agree_with_brute_force(spark, tmp_path):
-    """The stages' own operators, document by document where that is possible."""
+def test_run_matches_brute_force(spark, tmp_path):
+    """All stages again in plain Python and SQL: every pair of texts, every diagonal, every rule at every offset."""
     sf, *_ = folder(spark, tmp_path)
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    model = quality.fit(docs, common.table(spark, sf, "labels"))
-    scored = {r.doc_id for r in quality.score(docs, model).filter(f"probability >= {quality.KEEP}").collect()}
-    assert {r.doc_id for r in quality.keep_good(docs, model).collect()} == scored
-    gone = {r.doc_id for r in near_dedup.copies(docs).collect()}
-    assert {r.doc_id for r in near_dedup.drop_copies(docs).collect()} == {r.doc_id for r in docs.collect()} - gone
-    bad = {r.doc_id for r in decontaminate.overlaps(docs, common.table(spark, sf, "benchmark")).collect()}
-    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, common.table(spark, sf, "benchmark")).collect()} == {r.doc_id for r in docs.collect()} - bad
-    found = {r.doc_id for r in secret_scan.scan(docs).collect()}
-    changed = {r.doc_id for r in secret_scan.redact(docs).join(docs.selectExpr("doc_id", "text before"), "doc_id").filter("text <> before").collect()}
-    assert found == changed == {503}
-    assert source_mix.mixed(docs).filter("mix_epoch = 0").count() == docs.count() and words(random.Random(0), 1)
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(rows)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    held = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").filter("pmod(xxhash64(doc_id), 5) = 0").collect()}
+
+    x = quality.statistics(kernels.as_strings(pa.array([rows[i].text for i in ids])))
+    fit, own = (np.array([i in labels and (i in held) == h for i in ids]) for h in (False, True))
+    y = np.array([labels.get(i, 0) for i in ids], dtype=float)
+    mean, scale, k = x[fit].mean(0), x[fit].std(0) + quality.LEAST_SCALE, quality.FEATURES + 1
+    rng = np.random.default_rng(quality.SEED)
+    direction, phase = rng.normal(0, 1 / quality.BANDWIDTH, (x.shape[1], k - 1)), rng.uniform(0, 2 * np.pi, k - 1)
+    z = quality.fourier((x - mean) / scale, direction, phase)
+    weight = np.linalg.lstsq(np.vstack([z[fit], np.sqrt(quality.RIDGE * fit.sum() / k) * np.eye(k)]), np.concatenate([y[fit], np.zeros(k)]), rcond=None)[0]
+    cells = quality.cell(z @ weight)
+    curve = quality.isotonic(np.bincount(cells[own], minlength=quality.GRID), np.bincount(cells[own], weights=y[own], minlength=quality.GRID))
+    left = [(i, rows[i].text) for i, c in zip(ids, cells) if round(curve[c], 6) >= quality.KEEP]
+
+    gone = {i for i, _ in brute_copies(left)}
+    left = [(i, t) for i, t in left if i not in gone]
+    bad = {i for i, _ in brute_overlaps(left, items)}
+    left = [(i, secret_scan.redacted(t, brute_secrets(t))) for i, t in left if i not in bad]
+    docs = documents(spark, [(i, t, rows[i].source) for i, t in left])
+    want = sql(source_mix.ORACLE_SQL, documents=docs)
+
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.source, r.mix_epoch, round(r.mix_position, 8)) for r in got) == sorted((d, s, e, round(p, 8)) for d, s, _, e, p in want)
+    assert {(r.doc_id, r.text) for r in got} == set(left) and gone and bad and len(left) < len(ids) - 60
+    assert len(os.listdir(sorted(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/pipeline-*"), key=os.path.getmtime)[-1])) == 1
