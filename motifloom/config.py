@@ -24,11 +24,12 @@ class Config:
     hierarchical: bool = True
     least_gain: float = 0.02  #: share of the body a further pass must save
     gain_over_cost: float = 1.5  #: body tokens saved a dictionary token, likewise
+    discard_poor_pass: bool = False  #: a further pass that saves too little is undone, not just the last
     length_tokens: bool = True
     pool: int = 500
     fuzzy: bool = False
     max_diff: int = 1
-    templates: bool = False
+    templates: bool = False  #: code by templates where that is shorter
     template_instances: int = 3
     template_slots: int = 3
     slot_length: int = 10

@@ -28,6 +28,13 @@ def normal_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
 
 
+def whole_numbers(tokens: Column) -> Column:
+    """Token ids as an array of whole numbers from 0 up; null where any of them is none."""
+    ids = F.transform(tokens, lambda t: t.try_cast("bigint"))
+    good = F.forall(F.zip_with(tokens, ids, lambda t, i: i.isNotNull() & (i >= 0) & (i.cast("double") == t.try_cast("double"))), lambda x: x)
+    return F.when(good, ids)
+
+
 def is_meta(token: Column, config: Config = Config()) -> Column:
     """Whether a token is spelled like the name of a dictionary entry."""
     return token.startswith(config.meta[0]) & token.endswith(config.meta[1])

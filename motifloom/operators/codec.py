@@ -200,16 +200,24 @@ def encode(tokens: Sequence[Token], config: Config = Config(), extra: Sequence[C
         if not names:
             break
         shorter = body_with(body, chosen, names, config)
-        before = len(body)
+        growth = sum(1 + len(p) + config.extra for p in names)
+        saved = len(body) - len(shorter)
+        poor = level > 1 and (saved < config.least_gain * len(body) or saved < config.gain_over_cost * growth)
+        if poor and config.discard_poor_pass:
+            break
         body = shorter
         for p, n in names.items():
             entries[n] = p
             depth[n] = level
-        growth = sum(1 + len(p) + config.extra for p in names)
-        saved = before - len(body)
-        if level > 1 and (saved < config.least_gain * before or saved < config.gain_over_cost * growth):
+        if poor:
             break
     stream = serialised(entries, body, config, static_id)
+    if config.templates:
+        from . import templates
+
+        framed = templates.encode(tokens, config)
+        if len(framed) < min(len(stream), len(tokens)):
+            return Coded(tokens, framed, {}, framed, candidates=seen)
     if len(stream) > len(tokens):
         return Coded(tokens, tokens, {}, tokens, candidates=seen)
     result = Coded(tokens, body, ordered(entries), stream, static_id, depth, seen)
@@ -242,7 +250,7 @@ def adjusted(tokens: Sequence[Token], body: Sequence[Token], found: list[Candida
     if config.regions:
         found = regions.by_region(found, regions.regions_of(body))
     if config.importance:
-        scores = importance.composite(body, found)
+        scores = importance.composite(body, found, embed)
         keep = [i for i, s in enumerate(scores) if s < config.importance_threshold]
         found = importance.prioritised([found[i] for i in keep], [scores[i] for i in keep], config.importance_weight)
     return found
@@ -295,6 +303,10 @@ def parsed(stream: Sequence[Token], config: Config = Config()) -> tuple[str | No
 
 def decode(stream: Sequence[Token], config: Config = Config()) -> list[Token]:
     """The sequence that a stream stands for."""
+    if config.templates and config.slot in stream:
+        from . import templates
+
+        return templates.decode(stream, config)
     static_id, entries, body = parsed(stream, config)
     return decode_with(body, entries, config, static_id)
 

@@ -24,6 +24,7 @@ from motifloom.sources.storage import settled
 
 from . import codec, importance, templates
 from . import patterns as pt
+from .select import select
 
 _TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 FEW_BYTES = 128 << 20  #: a table of fewer is spread over the cores
@@ -300,19 +301,35 @@ def discover_templates(docs: DataFrame, config: Config = Config(), single: bool
     return per_document(docs, _TEMPLATE, work)
 
 
-_CODED = "doc_id bigint, n_tokens bigint, n_coded bigint, n_body bigint, n_patterns bigint, n_uses bigint, pattern_tokens bigint, longest int, n_candidates bigint, depth int, distinct_tokens bigint, distinct_body bigint, covered bigint, static_id string, stream array<string>"
+_CODED = "doc_id bigint, n_tokens bigint, n_coded bigint, n_body bigint, n_patterns bigint, n_uses bigint, pattern_tokens bigint, longest int, n_candidates bigint, depth int, distinct_tokens bigint, distinct_body bigint, covered bigint, static_id string, passed boolean, stream array<string>"
 
 
-def encode(docs: DataFrame, config: Config = Config()) -> DataFrame:
+def selected(docs: DataFrame, config: Config = Config(), embed: Callable | None = None) -> DataFrame:
+    """(doc_id, start, length, pattern): the stretches of each document that the first pass chooses to replace; no shuffle."""
+    validate(config)
+
+    def work(doc_id: object, words: list[str]) -> Iterator[tuple]:
+        found = pt.deduplicated(codec.discovered(words, config, None))
+        for o in select(words, pt.without_subsumed(found, config) if config.prune_subsumed else found, config, embed):
+            yield doc_id, o.start, o.length, " ".join(o.pattern)
+
+    return per_document(docs, "doc_id bigint, start bigint, length bigint, pattern string", work)
+
+
+def encode(docs: DataFrame, config: Config = Config(), embed: Callable | None = None) -> DataFrame:
     """Each document coded, with what its quality and metrics are computed from.
 
-    Documents with reserved tokens can't be coded: they pass as they are.
+    ``passed`` tells whether the stream decodes to the document (null if the
+    settings don't ask for that).  ``embed`` gives vectors of texts to semantic
+    selection and importance.  Documents with reserved tokens can't be coded:
+    they pass as they are.
     """
     validate(config)
+    unchecked = config.but(verify=False)
 
     def work(doc_id: object, words: list[str]) -> Iterator[tuple]:
         try:
-            c = codec.encode(words, config)
+            c = codec.encode(words, unchecked, embed=embed)
         except ValueError:
             if not any(codec.is_reserved(t, config) for t in words):
                 raise
@@ -324,7 +341,7 @@ def encode(docs: DataFrame, config: Config = Config()) -> DataFrame:
         sizes = [len(s) for s in c.entries.values()]
         yield (
             doc_id, len(words), len(c.stream), len(c.body), len(c.entries), sum(uses.values()), sum(sizes), max(sizes, default=0), c.candidates,
-            max((c.depth.get(m, 0) for m in c.entries), default=0), len(set(words)), len(set(c.body)), sum(uses[m] * len(s) for m, s in c.entries.items()), c.static_id, [str(t) for t in c.stream],
+            max((c.depth.get(m, 0) for m in c.entries), default=0), len(set(words)), len(set(c.body)), sum(uses[m] * len(s) for m, s in c.entries.items()), c.static_id, codec.decode(c.stream, config) == words if config.verify else None, [str(t) for t in c.stream],
         )
 
     return per_document(docs, _CODED, work)
@@ -343,9 +360,9 @@ def decode(coded: DataFrame, config: Config = Config()) -> DataFrame:
     return coded.select("doc_id", "stream").mapInArrow(run, "doc_id bigint, text string")
 
 
-def round_trip(docs: DataFrame, config: Config = Config()) -> DataFrame:
+def round_trip(docs: DataFrame, config: Config = Config(), embed: Callable | None = None) -> DataFrame:
     """(doc_id, text, no_longer): each document coded and decoded again, and whether coding kept it from growing."""
-    coded = encode(docs, config)
+    coded = encode(docs, config.but(verify=False), embed)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("no_longer", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

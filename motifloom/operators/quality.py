@@ -29,6 +29,7 @@ def features(coded: DataFrame) -> DataFrame:
         after.alias("compressed_diversity"),
         F.when(before > 0, after / before).otherwise(1.0).alias("diversity_change"),
         share(F.col("covered"), n, 0.0).alias("coverage"),
+        *(["passed"] if "passed" in coded.columns else []),
     )
 
 
@@ -81,6 +82,19 @@ def sdk_score(found: DataFrame, least_ratio: float, most_overhead: float, most_l
     return rows.withColumn("decision", F.when((F.col("score") >= 0.6) & (p < 0.3), "accept").when(p < 0.5, "retry").otherwise("skip"))
 
 
+def with_similarity(scored: DataFrame, least: float = 0.85, original: str = "original_vector", coded: str = "coded_vector") -> DataFrame:
+    """``sdk_score`` made better or worse by the cosine of the vectors of the original and of its coding (0 where one is zero)."""
+    a, b = F.col(original).cast("array<double>"), F.col(coded).cast("array<double>")
+    total = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    size = F.sqrt(total(a, a)) * F.sqrt(total(b, b))
+    rows = scored.withColumn("similarity", F.when(size > 0, total(a, b) / size).otherwise(0.0))
+    s, low = F.col("similarity"), F.col("similarity") < least
+    within = lambda x: F.round(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), 9)
+    rows = rows.withColumn("score", within(F.col("score") + F.when(low, (s - least) * 0.3).otherwise((s - least) * 0.1))).withColumn("probability", within(F.col("probability") + F.when(low, 0.2).otherwise(0.0)))
+    p = F.col("probability")
+    return rows.withColumn("decision", F.when((F.col("score") >= 0.6) & (p < 0.3), "accept").when(p < 0.5, "retry").otherwise("skip"))
+
+
 _PERCENTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 

@@ -137,7 +137,7 @@ def integer_program(found: Sequence[Stretch], config: Config) -> list[Stretch]:
     For a given set of patterns the best stretches are found by interval
     scheduling, so only the sets are searched: all of them up to
     ``ilp_patterns`` patterns, beyond that by adding and removing single
-    patterns from the best other answer until nothing improves.
+    patterns, any of them, from the best other answer until nothing improves.
     """
     count = Counter(o.pattern for o in found)
     left = [o for o in found if count[o.pattern] >= least_count(o.length, config.extra)]
@@ -160,15 +160,79 @@ def integer_program(found: Sequence[Stretch], config: Config) -> list[Stretch]:
                 best = max(best, answer(frozenset(own)), key=value)
         return best
     best = max((greedy(found, config), optimal(found, config), beam(found, config)), key=value)
-    own = frozenset(o.pattern for o in best)
-    improved = True
-    while improved:
-        improved = False
-        for p in patterns[: 20 * config.ilp_patterns]:
-            other = answer(own ^ {p})
-            if value(other) > value(best) + 1e-9:
-                best, own, improved = other, frozenset(o.pattern for o in other), True
-    return best
+    return _Flips(left, best, config).improved(patterns, value(best)) or best
+
+
+class _Flips:
+    """The best stretches for a set of patterns, kept by groups of stretches that touch no others.
+
+    Adding or removing a pattern changes only the groups that it has a stretch
+    in, so all patterns can be tried, however long the sequence.
+    """
+
+    def __init__(self, left: Sequence[Stretch], best: Sequence[Stretch], config: Config) -> None:
+        self.config, self.own = config, {o.pattern for o in best}
+        self.groups: list[list[Stretch]] = []
+        self.of: dict[tuple[Token, ...], list[int]] = defaultdict(list)
+        end = -1
+        for o in sorted(left, key=lambda o: o.start):
+            if o.start >= end:
+                self.groups.append([])
+            end = max(end, o.end)
+            self.groups[-1].append(o)
+            if self.of[o.pattern][-1:] != [len(self.groups) - 1]:
+                self.of[o.pattern].append(len(self.groups) - 1)
+        for g in self.groups:
+            g.sort(key=lambda o: (o.end, o.start))
+        self.chosen = [self.solved(g, self.own) for g in range(len(self.groups))]
+        self.count, self.priority = Counter(), Counter()
+        for g in self.chosen:
+            self.counted(g, 1, self.count, self.priority)
+
+    def solved(self, group: int, own: set) -> list[Stretch]:
+        return _heaviest([o for o in self.groups[group] if o.pattern in own], lambda o: o.length - 1 + 0.1 * o.priority)
+
+    @staticmethod
+    def counted(chosen: Sequence[Stretch], sign: int, count: Counter, priority: Counter) -> None:
+        for o in chosen:
+            count[o.pattern] += sign
+            priority[o.pattern] += sign * o.priority
+
+    def worth(self, p: tuple[Token, ...], n: int, priority: int) -> float:
+        return savings(len(p), n, self.config.extra) + 0.1 * priority if pays(len(p), n, self.config.extra) else 0.0
+
+    def improved(self, patterns: Sequence[tuple[Token, ...]], most: float) -> list[Stretch]:
+        """The stretches after flips of single patterns until none improves on ``most``; nothing if none does."""
+        total = sum(self.worth(p, n, self.priority[p]) for p, n in self.count.items())
+        best: list[Stretch] = []
+        again = True
+        while again:
+            again = False
+            for p in patterns:
+                other = {g: self.solved(g, self.own ^ {p}) for g in self.of[p]}
+                count, priority = Counter(), Counter()
+                for g, chosen in other.items():
+                    self.counted(self.chosen[g], -1, count, priority)
+                    self.counted(chosen, 1, count, priority)
+                now = total + sum(self.worth(q, self.count[q] + n, self.priority[q] + priority[q]) - self.worth(q, self.count[q], self.priority[q]) for q, n in count.items())
+                if now <= most + 1e-9:
+                    continue
+                most, again = now, True
+                self.moved(other)
+                kept = {q for q, n in self.count.items() if pays(len(q), n, self.config.extra)}
+                best = [o for g in self.chosen for o in g if o.pattern in kept]
+                # what doesn't pay leaves the set, and its places are free for others
+                dropped = {g for q, n in self.count.items() if n and q not in kept for g in self.of[q]}
+                self.own = kept
+                self.moved({g: self.solved(g, kept) for g in dropped})
+                total = sum(self.worth(q, n, self.priority[q]) for q, n in self.count.items())
+        return sorted(best, key=lambda o: o.start)
+
+    def moved(self, other: dict[int, list[Stretch]]) -> None:
+        for g, chosen in other.items():
+            self.counted(self.chosen[g], -1, self.count, self.priority)
+            self.counted(chosen, 1, self.count, self.priority)
+            self.chosen[g] = chosen
 
 
 def context_factors(tokens: Sequence[Token], candidates: Sequence[Candidate], config: Config, embed: Callable[[list[str]], Sequence[Sequence[float]]], most: int = 32) -> dict[tuple[Token, ...], float]:

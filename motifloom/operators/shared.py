@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motifloom.config import Config
 from motifloom.functions import arithmetic as ar
 from motifloom.functions.tokens import token_count
-from motifloom.sources.storage import unused
+from motifloom.sources.storage import settled, unused
 
 from .corpus import candidates, per_document
 
@@ -81,6 +83,7 @@ def static_dictionary(docs: DataFrame, config: Config = Config(), entries: int =
     return ranked.select("rank", F.concat(F.lit("<SD_"), F.col("rank") - 1, F.lit(">")).alias("meta"), "pattern", "length", "total", "documents", "score")
 
 
+log = logging.getLogger(__name__)
 _STATE = ["pattern", "length", "frequency", "occurrences", "savings", "first_seen", "last_seen"]
 
 
@@ -101,6 +104,32 @@ def learned(cache: DataFrame | None, found: DataFrame, at: int, config: Config =
     return rows.orderBy(F.desc(cache_score(F.lit(at))), "pattern").limit(most * 4 // 5)
 
 
+CACHE_VERSION = 1
+
+
+def save_cache(cache: DataFrame, path: str) -> None:
+    """Writes the cache as JSON lines, each with the version of the format; what was at ``path`` goes."""
+    settled(cache.select(*_STATE)).withColumn("version", F.lit(CACHE_VERSION)).write.mode("overwrite").json(path)
+
+
+def load_cache(spark: SparkSession, path: str) -> DataFrame | None:
+    """A saved cache; None, with a warning, where there is none, its version is another, or a line is broken or lacks something."""
+    kinds = "pattern string, length bigint, frequency bigint, occurrences bigint, savings bigint, first_seen bigint, last_seen bigint, version int, _broken string"
+    try:
+        rows = settled(spark.read.schema(kinds).option("columnNameOfCorruptRecord", "_broken").json(path))
+    except AnalysisException:
+        log.warning("no cache at %s", path)
+        return None
+    lacks = F.lit(False)
+    for c in [*_STATE, "version"]:
+        lacks = lacks | F.col(c).isNull()
+    found = rows.agg(F.count_if(F.col("_broken").isNotNull() | lacks).alias("broken"), F.count_if(F.col("version") != CACHE_VERSION).alias("other")).first()
+    if found["broken"] or found["other"]:
+        log.warning("the cache at %s can't be used: %s broken lines, %s of another version", path, found["broken"], found["other"])
+        return None
+    return rows.select(*_STATE)
+
+
 def cache_score(now: Column, half_life: float = 100.0) -> Column:
     """Often seen, lately seen, saving much, long: the higher the better."""
     mean = F.col("savings") / F.greatest(F.col("frequency"), F.lit(1))

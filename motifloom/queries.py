@@ -235,12 +235,49 @@ def marked_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", mark.alias("length_token"), bracketed_number(mark, CONFIG.length_mark).alias("parsed"), is_meta(F.get(w, F.lit(0))).alias("first_is_meta"), is_compressed(w).alias("compressed"), F.array_join(body_of(w), " ").alias("body"), F.array_join(context(w, F.lit(1), F.lit(2), 8), " ").alias("context"))
 
 
+def _embed(texts: list[str]) -> list[list[float]]:
+    return Hashed(16).embed(texts)
+
+
+# DuckDB: the stretches that greedy selection takes in one pass: the longest first, then from the left, whatever fits;
+# again without the patterns that were taken too rarely to pay, ten times
+_FITS = "len(list_filter(a, lambda c: c // 16 < x[1] // 16 + x[1] % 16 AND c // 16 + c % 16 > x[1] // 16)) = 0"
+_PRUNED_STARTS = f"""{_COVER}, rest AS (SELECT * FROM own ANTI JOIN cov USING (doc_id, pattern, u) SEMI JOIN inn USING (doc_id, pattern)), many AS (SELECT doc_id, pattern FROM rest GROUP BY ALL HAVING count(*) >= 2 AND any_value(length) * count(*) > 2 + any_value(length) + count(*)),
+s0 AS MATERIALIZED (SELECT doc_id, pattern, CAST(length AS BIGINT) AS length, CAST(u AS BIGINT) AS u FROM (SELECT * FROM own ANTI JOIN inn USING (doc_id, pattern) UNION ALL SELECT * FROM rest SEMI JOIN many USING (doc_id, pattern)))"""
+
+
+def _round(k: int) -> str:
+    return f"""c{k} AS (SELECT doc_id, unnest(list_reduce(list_prepend(CAST([] AS BIGINT[]), list([u * 16 + length] ORDER BY length DESC, u)), lambda a, x: CASE WHEN {_FITS} THEN a || x ELSE a END)) AS c FROM s{k} GROUP BY doc_id),
+e{k} AS MATERIALIZED (SELECT s{k}.* FROM c{k} JOIN s{k} ON s{k}.doc_id = c{k}.doc_id AND s{k}.u = c // 16 AND s{k}.length = c % 16), poor{k} AS MATERIALIZED (SELECT doc_id, pattern FROM e{k} GROUP BY ALL HAVING any_value(length) * count(*) <= 2 + any_value(length) + count(*)),
+s{k + 1} AS MATERIALIZED (SELECT * FROM s{k} ANTI JOIN poor{k} USING (doc_id, pattern))"""
+
+
+_GREEDY = f"{_PRUNED_STARTS}, {', '.join(map(_round, range(10)))}, taken AS MATERIALIZED (SELECT doc_id, u AS start, length, pattern FROM e9 ANTI JOIN poor9 USING (doc_id, pattern))"
+# what one pass of coding makes of them: 500 names at most, and no coding where it isn't shorter
+_CODING = f"""{_GREEDY}, nm AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS r FROM (SELECT doc_id, pattern, length, count(*) AS n, min(start) AS first FROM taken GROUP BY doc_id, pattern, length)), k AS (SELECT doc_id, count(*) AS k, sum(n) AS uses, sum(length) AS pt, sum(n * (length - 1)) AS saved, sum(n * length) AS covered FROM nm WHERE r <= 500 GROUP BY doc_id),
+gone AS (SELECT doc_id, unnest(range(start, start + length)) AS i FROM taken SEMI JOIN (SELECT * FROM nm WHERE r <= 500) USING (doc_id, pattern)), db AS (SELECT doc_id, count(DISTINCT t) AS db FROM long ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id), tt AS (SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS dt FROM w),
+kk AS (SELECT tt.*, CASE WHEN k IS NOT NULL AND n - saved + 2 + 2 * k + pt <= n THEN 1 ELSE 0 END AS shorter, coalesce(k, 0) AS k, coalesce(uses, 0) AS uses, coalesce(pt, 0) AS pt, coalesce(saved, 0) AS saved, coalesce(covered, 0) AS covered, coalesce(db, 0) AS db FROM tt LEFT JOIN k USING (doc_id) LEFT JOIN db USING (doc_id)),
+coding AS MATERIALIZED (SELECT documents.doc_id, documents.source, documents.text, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, CAST(coalesce(CASE WHEN shorter = 1 THEN n - saved + 2 + 2 * k + pt ELSE n END, 0) AS BIGINT) AS n_coded, CAST(coalesce(CASE WHEN shorter = 1 THEN n - saved ELSE n END, 0) AS BIGINT) AS n_body, CAST(coalesce(k * shorter, 0) AS BIGINT) AS n_patterns, CAST(coalesce(uses * shorter, 0) AS BIGINT) AS n_uses,
+CAST(coalesce(pt * shorter, 0) AS BIGINT) AS pattern_tokens, CAST(coalesce(dt, 0) AS BIGINT) AS distinct_tokens, CAST(coalesce(CASE WHEN shorter = 1 THEN db + k ELSE dt END, 0) AS BIGINT) AS distinct_body, CAST(coalesce(covered * shorter, 0) AS BIGINT) AS covered FROM documents LEFT JOIN kk USING (doc_id))"""
+SINGLE_PASS = Config(hierarchical=False)
+
+
+@query(f"WITH {_GREEDY} SELECT doc_id, start, length, pattern FROM taken")
+def greedy_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.selected(_docs(spark, folder), SINGLE_PASS)
+
+
+@query(f"WITH {_CODING} SELECT doc_id, n_tokens, n_coded, n_body, n_patterns, n_uses, pattern_tokens, distinct_tokens, distinct_body, covered, true AS passed FROM coding")
+def coding_single_pass(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.encode(_docs(spark, folder), SINGLE_PASS).select("doc_id", "n_tokens", "n_coded", "n_body", "n_patterns", "n_uses", "pattern_tokens", "distinct_tokens", "distinct_body", "covered", "passed")
+
+
 _ROUND_TRIP = f"SELECT doc_id, {_FLAT} AS text, true AS no_longer FROM documents"
 
 
 def _round_trip(name: str, config: Config) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return corpus.round_trip(_docs(spark, folder), config)
+        return corpus.round_trip(_docs(spark, folder), config, _embed if config.selection == "semantic" else None)
 
     run.__name__ = f"roundtrip_{name}"
     query(_ROUND_TRIP)(run)
@@ -280,7 +317,7 @@ def stream_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def _records(coded: DataFrame) -> DataFrame:
     found = quality.predicted(quality.features(coded))
-    return found.select("doc_id", "compression_ratio", "degradation", F.col("dict_overhead").alias("overhead"), F.col("n_patterns").alias("patterns_used"), "original_length", "compressed_length", F.lit(True).alias("passed"), F.lit(0.0).alias("latency_ms"))
+    return found.select("doc_id", "compression_ratio", "degradation", F.col("dict_overhead").alias("overhead"), F.col("n_patterns").alias("patterns_used"), "original_length", "compressed_length", "passed", F.lit(None).cast("double").alias("latency_ms"))
 
 
 @query()
@@ -307,25 +344,23 @@ def ratio_cube(spark: SparkSession, folder: str) -> DataFrame:
     return offline.ratio_by_group(corpus.encode(docs, CONFIG), docs, "lang", "source")
 
 
-# a surrogate for a log of codings: each document's share of distinct characters stands for its ratio
-_LOG = """log AS (SELECT doc_id, least(1.0, 5.0 * (doc_id % 97) / 97 / 5) AS r, (doc_id % 11) / 100.0 AS d, (doc_id % 7) / 10.0 AS o, doc_id % 13 AS p, CAST(n_chars AS BIGINT) AS a, CAST(n_chars - n_chars // 3 AS BIGINT) AS b, doc_id % 53 <> 0 AS ok, CAST(doc_id % 17 AS DOUBLE) AS ms, source FROM documents)"""
+# the log of coding all documents in one pass: ratio, predicted degradation, share of the dictionary, patterns, lengths, and whether each decodes
+_LOG = f"""{_CODING}, v AS (SELECT *, CASE WHEN n_tokens > 0 THEN n_coded / n_tokens ELSE 1 END AS r, CASE WHEN n_coded > 0 THEN (n_coded - n_body) / n_coded ELSE 0 END AS o, CASE WHEN n_patterns > 0 THEN pattern_tokens / n_patterns ELSE 0 END AS al, CASE WHEN n_tokens > 0 THEN distinct_tokens / n_tokens ELSE 1 END AS b4, CASE WHEN n_coded > 0 THEN distinct_body / n_coded ELSE 1 END AS af FROM coding),
+log AS MATERIALIZED (SELECT doc_id, source, r, o, n_patterns AS p, n_tokens AS a, n_coded AS b, true AS ok, round(least(CASE WHEN r < 0.5 THEN (0.5 - r) * 0.15 ELSE 0 END + CASE WHEN r < 0.3 THEN (0.3 - r) * 0.2 ELSE 0 END + CASE WHEN al < 3 AND n_patterns > 10 THEN 0.03 ELSE 0 END + CASE WHEN o > 0.3 THEN 0.02 ELSE 0 END + CASE WHEN o > 0.5 THEN 0.03 ELSE 0 END
++ CASE WHEN (CASE WHEN b4 > 0 THEN af / b4 ELSE 1 END) < 0.7 THEN 0.02 ELSE 0 END + CASE WHEN n_tokens < 100 AND n_patterns > 5 THEN 0.02 ELSE 0 END, 1), 9) AS d FROM v)"""
 
 
 def _log(spark: SparkSession, folder: str) -> DataFrame:
-    d = F.col("doc_id")
-    n = F.col("n_chars").cast("bigint")
-    return _docs(spark, folder).select(
-        "doc_id", "source", F.least(F.lit(1.0), F.lit(5.0) * (d % 97) / 97 / 5).alias("compression_ratio"), ((d % 11) / 100.0).alias("degradation"), ((d % 7) / 10.0).alias("overhead"), (d % 13).alias("patterns_used"),
-        n.alias("original_length"), (n - F.floor(n / 3)).cast("bigint").alias("compressed_length"), (d % 53 != 0).alias("passed"), (d % 17).cast("double").alias("latency_ms"),
-    )
+    docs = _docs(spark, folder)
+    return _records(corpus.encode(docs, SINGLE_PASS)).join(docs.select("doc_id", "source"), "doc_id")
 
 
-@query(f"""WITH {_LOG} SELECT source, count(*) AS records, round(avg(r), 6) AS ratio_mean, round(quantile_cont(r, 0.5), 6) AS ratio_p50, round(quantile_cont(r, 0.95), 6) AS ratio_p95, round(quantile_cont(d, 0.99), 6) AS degradation_p99, max(o) AS overhead_max,
-round(avg(p), 6) AS patterns_mean, round(count(*) FILTER (NOT ok) / count(*), 6) AS failure_rate, CAST(sum(a) AS BIGINT) AS tokens_processed, CAST(sum(a - b) AS BIGINT) AS tokens_saved, round(coalesce(avg(ms) FILTER (ms > 0), 0), 6) AS latency_mean FROM log GROUP BY source""")
+@query(f"""WITH {_LOG} SELECT source, count(*) AS records, round(avg(r), 6) AS ratio_mean, round(quantile_cont(r, 0.5), 6) AS ratio_p50, round(quantile_cont(r, 0.95), 6) AS ratio_p95, round(quantile_cont(d, 0.99), 6) AS degradation_p99, round(max(o), 6) AS overhead_max,
+round(avg(p), 6) AS patterns_mean, round(count(*) FILTER (NOT ok) / count(*), 6) AS failure_rate, CAST(sum(a) AS BIGINT) AS tokens_processed, CAST(sum(a - b) AS BIGINT) AS tokens_saved FROM log GROUP BY source""")
 def quality_summary(spark: SparkSession, folder: str) -> DataFrame:
     s = quality.summary(_log(spark, folder), ["source"], exact=True)
     r = lambda c, n: F.round(c, 6).alias(n)
-    return s.select("source", "records", r("compression_ratio_mean", "ratio_mean"), r("compression_ratio_p50", "ratio_p50"), r("compression_ratio_p95", "ratio_p95"), r("degradation_p99", "degradation_p99"), "overhead_max", r("patterns_mean", "patterns_mean"), r("failure_rate", "failure_rate"), "tokens_processed", "tokens_saved", r("latency_mean", "latency_mean"))
+    return s.select("source", "records", r("compression_ratio_mean", "ratio_mean"), r("compression_ratio_p50", "ratio_p50"), r("compression_ratio_p95", "ratio_p95"), r("degradation_p99", "degradation_p99"), r("overhead_max", "overhead_max"), r("patterns_mean", "patterns_mean"), r("failure_rate", "failure_rate"), "tokens_processed", "tokens_saved")
 
 
 @query(f"""WITH {_LOG}, s AS (SELECT source, avg(r) AS a, quantile_cont(r, 0.95) AS b, avg(d) AS c, quantile_cont(d, 0.95) AS e, avg(o) AS f, count(*) FILTER (NOT ok) / count(*) AS g FROM log GROUP BY source),

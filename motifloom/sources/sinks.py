@@ -67,6 +67,21 @@ def alert_report(raised: DataFrame) -> DataFrame:
     return raised.select(F.format_string("%s %s: %s %.4f reaches %.4f", mark, F.upper("severity"), "metric", "value", "threshold").alias("text"))
 
 
+def baseline_report(bases: DataFrame, title: str = "metric") -> DataFrame:
+    """(text): each baseline (metric, mean, stddev, p95, n) as lines of name and value."""
+    named = F.col("metric") if "metric" in bases.columns else F.lit(title)
+    shown = [F.format_string(f"  %-14s%.4f", F.lit(label), F.col(c)) for label, c in (("mean", "mean"), ("deviation", "stddev"), ("p95", "p95"))]
+    return bases.select(F.concat_ws("\n", F.concat(F.lit("Baseline of "), named), F.lit("-" * 40), *shown, F.format_string("  %-14s%d", F.lit("records"), "n")).alias("text"))
+
+
+def health_report(summaries: DataFrame, raised: DataFrame, bases: DataFrame | None = None, now: str = "") -> DataFrame:
+    """(ord, text): state, summary, alerts and baselines, each part by itself; degraded if any alert is critical."""
+    critical = raised.agg(F.coalesce(F.max((F.col("severity") == "critical").cast("int")), F.lit(0)).alias("c"))  # one row
+    parts = critical.select(F.lit(0).alias("ord"), F.concat(F.lit(f"Health of coding {now}\nState: "), F.when(F.col("c") == 1, "degraded").otherwise("healthy")).alias("text"))
+    parts = parts.unionByName(report(summaries).select(F.lit(1).alias("ord"), "text")).unionByName(alert_report(raised).select(F.lit(2).alias("ord"), "text"))
+    return parts if bases is None else parts.unionByName(baseline_report(bases).select(F.lit(3).alias("ord"), "text"))
+
+
 def histogram_report(cells: DataFrame, width: int = 40) -> DataFrame:
     """(bin, text): a bar for each bin of a histogram, the longest ``width`` wide."""
     most = cells.agg(F.max("n").alias("most"))  # one row

@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -284,3 +285,58 @@ def test_static_dictionaries(tmp_path):
         sd.entries("none")
     code = ("def f ( self ) : return self " * 6).split()
     assert sd.chosen(code, Config(static_auto=True, static_confidence=0.5)) == "policy-python-v1"
+
+
+def test_flips_reach_what_a_whole_search_does():
+    """Local improvement by groups against the same over the whole sequence, with every pattern tried."""
+    rng = random.Random(31)
+    for _ in range(40):
+        words = [rng.choice("abcd") for _ in range(rng.randrange(20, 70))]
+        config = Config(selection="ilp", ilp_patterns=0)
+        found = select.stretches(pt.ngrams(words, config))
+        patterns = sorted({o.pattern for o in found}, key=lambda p: (-len(p), repr(p)))
+
+        def value(chosen):
+            used = Counter(o.pattern for o in chosen)
+            return sum(ar.savings(len(p), n, 1) for p, n in used.items() if ar.pays(len(p), n, 1))
+
+        def answer(own):
+            chosen = select._heaviest([o for o in found if o.pattern in own], lambda o: o.length - 1)
+            used = Counter(o.pattern for o in chosen)
+            return [o for o in chosen if ar.pays(o.length, used[o.pattern], 1)]
+
+        best = max((select.greedy(found, config), select.optimal(found, config), select.beam(found, config)), key=value)
+        own, again = frozenset(o.pattern for o in best), True
+        while again:
+            again = False
+            for p in patterns:
+                other = answer(own ^ {p})
+                if value(other) > value(best) + 1e-9:
+                    best, own, again = other, frozenset(o.pattern for o in other), True
+        got = select.integer_program(found, config) if found else []
+        assert value(got) == value(best) and all(a.end <= b.start for a, b in zip(got, got[1:]))
+
+
+def test_greedy_and_optimal_against_brute_force():
+    """Greedy by trying every stretch in order; optimal by trying every set of stretches."""
+    rng = random.Random(32)
+    for _ in range(60):
+        words = [rng.choice("abc") for _ in range(rng.randrange(8, 26))]
+        config = Config()
+        found = select.stretches(pt.without_subsumed(pt.ngrams(words, config), config))
+        left = list(found)
+        while True:
+            taken = []
+            for o in sorted(left, key=lambda o: (-(o.length - 1) / o.length, o.start, o.length)):
+                if all(o.end <= t.start or t.end <= o.start for t in taken):
+                    taken.append(o)
+            used = Counter(o.pattern for o in taken)
+            poor = {p for p, n in used.items() if len(p) * n <= 2 + len(p) + n}
+            if not poor:
+                break
+            left = [o for o in left if o.pattern not in poor]
+        assert select.greedy(found, config) == sorted(taken, key=lambda o: o.start)
+        if 0 < len(found) <= 12:
+            weight = {o: rng.choice((0, 1, 2.5, 4)) for o in found}
+            sets = (c for k in range(len(found) + 1) for c in itertools.combinations(found, k) if all(a.end <= b.start for a, b in itertools.pairwise(sorted(c, key=lambda o: o.start))))
+            assert sum(map(weight.get, select._heaviest(found, weight.get))) == max(sum(map(weight.get, c)) for c in sets)

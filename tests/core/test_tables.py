@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifloom.config import Config
-from motifloom.operators import corpus, domains, quality, regions, shared
+from motifloom.functions.tokens import whole_numbers
+from motifloom.operators import alerting, corpus, domains, quality, regions, shared, stages
 from motifloom.operators import patterns as pt
-from motifloom.plans import offline
+from motifloom.plans import offline, tools
 from motifloom.plans.service import Session
 from motifloom.sources import corpora, embeddings, sinks, tokenizers
 from motifloom.streaming import chunks, monitor
@@ -91,6 +92,92 @@ def test_one_row_of_each_text(spark):
     assert {(r.doc_id, r.copies) for r in shared.duplicates(docs).collect()} == {(1, 3), (5, 3), (None, 1), (6, 2), (8, 2)}
 
 
+def test_saved_cache(spark, docs, tmp_path):
+    path = str(tmp_path / "cache")
+    cache = shared.learned(None, corpus.candidates(docs), 3)
+    assert shared.load_cache(spark, path) is None
+    shared.save_cache(cache, path)
+    back = shared.load_cache(spark, path)
+    assert back.columns == cache.columns and back.exceptAll(cache).isEmpty() and back.count() == cache.count() > 5
+    shared.save_cache(back, path)  # over itself
+    assert shared.load_cache(spark, path).count() == cache.count()
+    for broken in ('{"pattern": "a b", "leng', '{"pattern": "a b", "version": 1}', json.dumps(cache.first().asDict() | {"version": 2})):
+        (tmp_path / "bad").mkdir(exist_ok=True)
+        (tmp_path / "bad" / "x.json").write_text(broken + "\n")
+        assert shared.load_cache(spark, str(tmp_path / "bad")) is None
+
+
+def test_alert_manager(spark):
+    summaries = quality.summary(records(spark), ["k"])
+    own, seen = alerting.Manager([("records", 1, 2)], 10, ["k"]), []
+
+    def fails(rows):
+        raise RuntimeError
+
+    own.subscribe(fails)
+    own.subscribe(lambda rows: seen.append(rows.count()))
+    assert own.check(summaries, 0).count() == 2 and own.check(summaries, 5).count() == 0 and own.check(summaries, 10).count() == 2
+    own.clear()
+    assert own.check(summaries, 11).count() == 2 and seen == [2, 0, 2, 2]
+    own.add_rule("compression_ratio_mean", 0.1, 0.9)
+    assert {r.metric for r in own.check(summaries, 12).collect()} == {"compression_ratio_mean"}
+    own.remove_rule("records")
+    own.remove_rule("compression_ratio_mean")
+    assert own.check(summaries, 99).collect() == []
+    assert alerting.rules_from({"overhead_warning": 0.3, "overhead_critical": 0.5, "degradation_warning": 1}) == [("overhead_mean", 0.3, 0.5)]
+
+
+def test_discovery_in_sql(spark, docs):
+    stages.register(spark, "found", {"exact": pt.ngrams})
+    docs.createOrReplaceTempView("docs_here")
+    got = {(r.doc_id, r.pattern, r.n) for r in spark.sql("SELECT d.doc_id, p.* FROM docs_here d, LATERAL found(d.text) p").collect()}
+    assert got == {(r.doc_id, r.pattern, r.n) for r in corpus.candidates(docs).collect()}
+    stages.register(spark, "own", {"first": lambda words, config: [pt.Candidate(tuple(words[:2]), (0,), 7)]})
+    assert spark.sql("SELECT * FROM own('x y z')").collect()[0].asDict() == {"stage": "first", "pattern": "x y", "length": 2, "n": 1, "starts": [0], "priority": 7}
+
+
+def test_tools():
+    own, tokens = Session(), "a b c d e".split() * 20
+    ask = lambda method, **params: tools.handled(own, json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": params}))
+    assert {t["name"] for t in ask("tools/list")["result"]["tools"]} == set(tools.TOOLS)
+    done = json.loads(ask("tools/call", name="compress_tokens", arguments={"tokens": tokens})["result"]["content"][0]["text"])
+    assert json.loads(ask("tools/call", name="decompress_tokens", arguments={"tokens": done["tokens"]})["result"]["content"][0]["text"])["tokens"] == tokens
+    for name, arguments in (("analyze_compression", {"tokens": tokens}), ("compress_text", {"text": "x y " * 9}), ("compress_context", {"turns": ["a b", "c"]}), ("compress_streaming", {"tokens": tokens, "chunk": 100}), ("run_benchmark", {"n": 50, "runs": 1})):
+        assert "result" in ask("tools/call", name=name, arguments=arguments), name
+    for name in ("get_session_metrics", "get_historical_metrics", "get_quality_summary", "get_pattern_cache_stats", "clear_pattern_cache", "reset_session_metrics"):
+        assert "result" in ask("tools/call", name=name), name
+    assert [ask("tools/call", name="no")["error"]["code"], ask("tools/call", name="compress_text")["error"]["code"], ask("tools/call", name="run_benchmark", arguments={"k": 1})["error"]["code"], ask("nothing")["error"]["code"]] == [-32602, -32602, -32602, -32601]
+    assert tools.handled(own, "{")["error"]["code"] == -32700 and tools.handled(own, "[]")["error"]["code"] == -32600
+    assert tools.handled(own, {"method": "tools/list"}) is None and "result" in ask("initialize")
+
+
+def test_similarity_and_reports(spark):
+    rows = spark.createDataFrame([(0.7, 0.1, 0.1, 4.0, [1.0, 0.0], [1.0, 0.0]), (0.7, 0.1, 0.1, 4.0, [1.0, 0.0], [0.0, 2.0]), (0.35, 0.4, 0.5, 2.0, [0.0, 0.0], [1.0, 0.0])], "compression_ratio double, dict_share double, diversity_loss double, avg_pattern_length double, original_vector array<double>, coded_vector array<double>")
+    got = quality.with_similarity(quality.sdk_score(rows, 0.5, 0.3, 0.4)).collect()
+    assert [(r.similarity, r.decision) for r in got] == [(1.0, "accept"), (0.0, "accept"), (0.0, "skip")] and got[1].score == pytest.approx(1 - 0.85 * 0.3) and got[1].probability == pytest.approx(0.2)
+    base = quality.baseline(records(spark), "compression_ratio")
+    assert "p95" in sinks.baseline_report(base).first().text
+    s = quality.summary(records(spark))
+    parts = [r.text for r in sinks.health_report(s, quality.alerts(s, [("records", 1, 2)]), base).orderBy("ord").collect()]
+    assert "degraded" in parts[0] and len(parts) == 4 and "healthy" in sinks.health_report(s, quality.alerts(s, [("records", 1000, 2000)])).orderBy("ord").first().text
+
+
+def test_token_ids(spark):
+    rows = spark.createDataFrame([(["1", "20"],), (["1", "-2"],), (["x"],), (["1.5"],), ([],), (None,)], "t array<string>")
+    assert [r.ids for r in rows.select(whole_numbers(F.col("t")).alias("ids")).collect()] == [[1, 20], None, None, None, [], None]
+
+
+def test_templates_and_passes(spark, docs):
+    framed = " ".join(f"open file number {i} for reading now" for i in range(12))
+    table = docs.filter("doc_id <> 106").unionByName(spark.createDataFrame([(200, framed)], "doc_id bigint, text string"))
+    for config in (Config(templates=True), Config(discard_poor_pass=True), Config(selection="ilp", ilp_patterns=2), Config(selection="semantic", importance=True)):
+        embed = embeddings.Hashed(8).embed if config.selection == "semantic" else None
+        assert corpus.encode(table, config, embed).filter("not passed or passed is null").count() == 0
+        assert {r.doc_id: r.text for r in corpus.round_trip(table, config, embed).collect()} == {r.doc_id: " ".join(words(r.text)) for r in table.collect()}
+    plain, own = (corpus.encode(table, c).filter("doc_id = 200").first().n_coded for c in (Config(pool=1), Config(pool=1, templates=True)))
+    assert own < plain
+
+
 def test_static_dictionary(spark, docs):
     found = shared.static_dictionary(docs, entries=5).orderBy("rank").collect()
     assert [r.meta for r in found] == [f"<SD_{i}>" for i in range(5)]
