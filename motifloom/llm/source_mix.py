@@ -40,7 +40,7 @@ from . import common
 
 KNOTS = (0.0, 0.5, 1.0)
 EXPONENTS = (1.0, 0.7, 0.5)
-RANGE_ROWS = 10_000
+RANGE_ROWS = 1_000
 MAX_BROADCAST = 100_000  #: rows of about 200 bytes
 
 
