@@ -1,10 +1,10 @@
 """Exact top-k search: BM25 over sharded inverted indexes with block-max WAND.
 
-Every task turns its documents into an inverted index of the words that occur
-in any query (other words cannot add to a score), with the documents' lengths;
-the indexes are written to the shared checkpoint folder.  Document frequencies,
-the number of documents and their mean length are then summed over all shards,
-so each shard scores with global statistics and the merged result is exact.
+Every task turns its documents into an inverted index of all their words, with
+the documents' lengths; the shards are a table, written once and searched as
+often as one likes.  Document frequencies of the words asked for, the number of
+documents and their mean length are summed over all shards, so each shard
+scores with global statistics and the merged result is exact.
 
 Within a shard, postings lie in blocks of ``BLOCK`` consecutive documents, each
 with the largest score any of its postings can add.  A query takes the blocks
@@ -18,8 +18,8 @@ Score: sum over the distinct words of the query of
 ``ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / avg_len))``,
 rounded to 6 digits; equal scores are ranked by ``doc_id``.
 
-Queries are searched in parts of at most ``MAX_TERMS`` words, so what is
-broadcast never grows with their number.
+Queries are searched in parts of at most ``MAX_TERMS`` words, each over the
+same shards, so what is broadcast never grows with their number.
 
 Defined results: rows with a null ``doc_id`` cannot be named and are left out,
 from the statistics too; null and empty texts are documents of length 0 that no
@@ -49,53 +49,69 @@ MAX_TERMS = 2_000_000
 SHARD_POSTINGS = 3_000_000
 SHARD_DOCS = 50_000
 _ROUND = 1e-6
-_SHARD = pa.schema([("n_docs", pa.int64()), ("n_words", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("terms", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("tf", pa.binary())])
-_SHARD_SQL = "n_docs bigint, n_words bigint, doc_ids binary, lengths binary, terms binary, counts binary, docs binary, tf binary"
+_SHARD = pa.schema([("n_docs", pa.int64()), ("n_words", pa.int64()), ("n_postings", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("terms", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("tf", pa.binary())])
+_SHARD_SQL = "n_docs bigint, n_words bigint, n_postings bigint, doc_ids binary, lengths binary, terms binary, counts binary, docs binary, tf binary"
 
 
-def index(docs: DataFrame, vocabulary) -> DataFrame:
-    """Shards of the inverted index over the broadcast sorted word hashes."""
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
 
-    def shard(ids: list, lengths: list, keys: list, tfs: list) -> pa.RecordBatch:
-        key, tf, length = np.concatenate(keys), np.concatenate(tfs), np.concatenate(lengths)
-        order = np.argsort(key, kind="stable")
-        key, tf = key[order], tf[order]
-        term, count = np.unique(key >> np.uint64(32), return_counts=True)
-        docs = (key & np.uint64(2**32 - 1)).astype(np.uint32)
-        return common.record(_SHARD, [len(length)], [int(length.sum())], *[common.binary([x]) for x in (np.concatenate(ids), length, term.astype(np.uint32), count.astype(np.uint32), docs, tf.astype(np.uint32))])
+
+def _unpacked(raw: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
+def index(docs: DataFrame) -> DataFrame:
+    """Shards of the inverted index over all words of docs (doc_id, text): a table to write once and search often."""
+
+    def shard(ids: list, lengths: list, terms: list, rows: list, tfs: list) -> pa.RecordBatch:
+        term, doc, tf, length = np.concatenate(terms), np.concatenate(rows), np.concatenate(tfs), np.concatenate(lengths)
+        order = np.argsort(term, kind="stable")  # documents stay in order within a word
+        term, count = np.unique(term[order], return_counts=True)
+        steps = np.diff(doc[order].astype(np.int64), prepend=0).astype(np.int32)
+        return common.record(_SHARD, [len(length)], [int(length.sum())], [len(doc)], *[pa.array([x], pa.binary()) for x in (np.concatenate(ids).tobytes(), length.tobytes(), term.tobytes(), count.astype(np.uint32).tobytes(), _packed(steps), _packed(tf[order].astype(np.uint32)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
-        ids, lengths, keys, tfs, n, postings = [], [], [], [], 0, 0
+        held: tuple[list, ...] = ([], [], [], [], [])
+        n = postings = 0
         for batch in batches:
             for at, texts in kernels.slices(kernels.as_strings(batch.column("text"))):
                 w = kernels.words(texts)
-                ids.append(batch.column("doc_id").slice(at, len(texts)).to_numpy())
-                lengths.append(np.diff(w.bounds).astype(np.uint32))
-                term = np.minimum(np.searchsorted(known, w.hash), max(0, len(known) - 1))
-                found = np.flatnonzero(known[term] == w.hash) if len(known) else np.zeros(0, dtype=np.int64)
-                # word and document, in that order of significance
-                key, tf = np.unique(term[found].astype(np.uint64) << np.uint64(32) | (w.row[found] + n).astype(np.uint64), return_counts=True)
-                keys.append(key)
-                tfs.append(tf)
+                own, which = np.unique(w.hash, return_inverse=True)
+                key, tf = np.unique(which.astype(np.uint64) << np.uint64(32) | w.row.astype(np.uint64), return_counts=True)
+                row = (key & np.uint64(2**32 - 1)).astype(np.uint32) + np.uint32(n)
+                for x, more in zip(held, (batch.column("doc_id").slice(at, len(texts)).to_numpy(), np.diff(w.bounds).astype(np.uint32), own[(key >> np.uint64(32)).astype(np.int64)], row, tf)):
+                    x.append(more)
                 n, postings = n + len(texts), postings + len(key)
                 if postings >= SHARD_POSTINGS or n >= SHARD_DOCS:
-                    yield shard(ids, lengths, keys, tfs)
-                    ids, lengths, keys, tfs, n, postings = [], [], [], [], 0, 0
+                    yield shard(*held)
+                    held, n, postings = ([], [], [], [], []), 0, 0
         if n:
-            yield shard(ids, lengths, keys, tfs)
+            yield shard(*held)
 
-    return docs.mapInArrow(run, _SHARD_SQL)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").filter("doc_id is not null").mapInArrow(run, _SHARD_SQL)
+
+
+def _own(terms: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a shard's words are asked for, and their numbers among those."""
+    at = np.searchsorted(known, terms)
+    own = np.flatnonzero(np.append(known, np.uint64(0))[at] == terms) if len(known) else np.zeros(0, dtype=np.int64)
+    own = own[at[own] < len(known)]
+    return own, at[own]
 
 
 class Shard:
-    """One shard ready for search: postings with their scores, in blocks with maxima."""
+    """One shard ready for the words ``known``: their postings with scores, in blocks with maxima."""
 
-    def __init__(self, row: dict, idf: np.ndarray, mean_length: float) -> None:
+    def __init__(self, row: dict, known: np.ndarray, idf: np.ndarray, mean_length: float) -> None:
         self.doc_ids = np.frombuffer(row["doc_ids"], np.int64)
         length = np.frombuffer(row["lengths"], np.uint32)
-        self.terms, counts = np.frombuffer(row["terms"], np.uint32), np.frombuffer(row["counts"], np.uint32).astype(np.int64)
-        self.docs, tf = np.frombuffer(row["docs"], np.uint32).astype(np.int64), np.frombuffer(row["tf"], np.uint32).astype(np.float64)
+        own, self.terms = _own(np.frombuffer(row["terms"], np.uint64), known)
+        every = np.frombuffer(row["counts"], np.uint32).astype(np.int64)
+        counts = every[own]
+        places = np.repeat((np.cumsum(every) - every)[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        self.docs = np.cumsum(_unpacked(row["docs"], row["n_postings"], np.int32), dtype=np.int64)[places]
+        tf = _unpacked(row["tf"], row["n_postings"], np.uint32)[places].astype(np.float64)
         norm = K1 * (1 - B + B * length / mean_length) if mean_length else np.ones(len(length))
         term = np.repeat(np.arange(len(counts)), counts)
         self.score = idf[self.terms][term] * tf * (K1 + 1) / (tf + norm[self.docs])
@@ -156,23 +172,26 @@ _HIT = pa.schema([("query", pa.int64()), ("item_id", pa.int64()), ("doc_id", pa.
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(item_id, doc_id, score, rank): the k best documents of each query."""
-    spark = docs.sparkSession
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").filter("doc_id is not null")
+    """(item_id, doc_id, score, rank): the k best documents of each query; the documents are indexed first, into the shared folder."""
+    return searched(common.checkpoint(index(docs)), queries, k)
+
+
+def searched(shards: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(item_id, doc_id, score, rank): the k best documents of each query, from the shards of an :func:`index`."""
+    spark = shards.sparkSession
     result = spark.createDataFrame([], "item_id bigint, doc_id bigint, score double, rank int")
     for n, part in enumerate(_parts(queries)):
         w = kernels.words(kernels.as_strings(pa.array([t for _, t in part], pa.large_string())))
         known = np.unique(w.hash)
         asked = [(i, np.unique(np.searchsorted(known, w.hash[a:b]))) for (i, _), a, b in zip(part, w.bounds[:-1], w.bounds[1:])]
-        shards = common.checkpoint(index(rows, spark.sparkContext.broadcast(known)))
-        idf, mean_length = _statistics(shards, len(known))
-        shared = spark.sparkContext.broadcast((asked, idf, mean_length))
+        idf, mean_length = _statistics(shards, known)
+        shared = spark.sparkContext.broadcast((asked, known, idf, mean_length))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            asked, idf, mean_length = shared.value
+            asked, known, idf, mean_length = shared.value
             for batch in batches:
                 for row in batch.to_pylist():
-                    shard = Shard(row, idf, mean_length)
+                    shard = Shard(row, known, idf, mean_length)
                     hits = [(q, item, d, s) for q, (item, terms) in enumerate(asked) for s, d in shard.top(terms, k)]
                     if hits:
                         yield common.record(_HIT, *map(list, zip(*hits)))
@@ -183,20 +202,22 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     return result
 
 
-def _statistics(shards: DataFrame, n_terms: int) -> tuple[np.ndarray, float]:
+def _statistics(shards: DataFrame, known: np.ndarray) -> tuple[np.ndarray, float]:
     """Inverse document frequencies by word and the mean length, over all shards."""
     pair = pa.schema([("term", pa.int64()), ("df", pa.int64())])
+    shared = shards.sparkSession.sparkContext.broadcast(known)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t, c in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist()):
-                yield common.record(pair, np.frombuffer(t, np.uint32).astype(np.int64), np.frombuffer(c, np.uint32).astype(np.int64))
+                own, at = _own(np.frombuffer(t, np.uint64), shared.value)
+                yield common.record(pair, at.astype(np.int64), np.frombuffer(c, np.uint32).astype(np.int64)[own])
 
     total = shards.agg(F.sum("n_docs"), F.sum("n_words")).first()
     n, words = total[0] or 0, total[1] or 0
     # at most MAX_TERMS rows
     found = shards.select("terms", "counts").mapInArrow(frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(n_terms)
+    df = np.zeros(len(known))
     df[found["term"].to_numpy()] = found["df"].to_numpy()
     return np.log(1 + (n - df + 0.5) / (df + 0.5)), words / n if n else 0.0
 

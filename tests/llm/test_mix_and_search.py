@@ -126,6 +126,17 @@ def test_search_matches_brute_force(spark, monkeypatch, block, shard_docs, terms
     same(ranked(got), brute(rows, queries, 5))
 
 
+def test_one_index_serves_many_searches(spark, tmp_path):
+    rng = random.Random(30)
+    rows = [(i, text(rng, rng.randrange(1, 80), 120)) for i in range(200)]
+    bm25.index(clashing(documents(spark, rows))).write.parquet(str(tmp_path / "index"))
+    shards = spark.read.parquet(str(tmp_path / "index"))
+    assert shards.agg({"n_docs": "sum"}).first()[0] == 200
+    for _ in range(2):
+        queries = [(i, text(rng, rng.randrange(1, 8), 150)) for i in range(12)]
+        same(ranked(bm25.searched(shards, spark.createDataFrame(queries, BENCH), 5).collect()), brute(rows, queries, 5))
+
+
 def test_ties_are_ranked_by_id(spark):
     docs = documents(spark, [(i, "same words here") for i in (9, 3, 7, 1, 5)] + [(100, "others"), (101, "more others")])
     got = bm25.search(docs, spark.createDataFrame([(1, "words")], BENCH), 3).orderBy("rank").collect()
