@@ -3,7 +3,7 @@
 A text is described by a dozen statistics (``STATISTICS``).  After
 standardising, random Fourier features approximate a Gaussian kernel over
 them.  Each partition sums its share of the normal equations; the sums are
-added, and the small system solved on the driver gives ridge scores.  Scores
+added, and the system, of fixed size, solved on the driver gives ridge scores.  Scores
 of labelled documents that were held out of the fit are then turned into
 probabilities by isotonic regression (pool adjacent violators over a fixed
 grid of scores).
