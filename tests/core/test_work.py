@@ -42,3 +42,36 @@ def test_beam_reckons_what_a_stretch_adds_once_a_length(monkeypatch):
     select.beam(found, Config())
     # in each of up to ten rounds, for each length and the counts that don't pay yet
     assert len(calls) <= select.ROUNDS * sum(select.least_count(n) + 1 for n in range(2, 9))
+
+
+def plain_groups(bucket, most):
+    waiting = list(bucket)
+    while waiting:
+        members = [g for g in waiting if sum(a != b for a, b in zip(waiting[0], g)) <= most]
+        if len(members) > 1:
+            yield members
+        waiting = [g for g in waiting if g not in members]
+
+
+def test_alike_grams_are_the_plain_ones():
+    r = random.Random(4)
+    for length in range(2, 10):
+        for most in range(4):
+            for size in (2, 5, 60):
+                bucket = list({tuple(r.choice("xyz") if k % 2 else "e" for k in range(length)) for _ in range(size)})
+                assert list(pt._alike(bucket, most)) == list(plain_groups(bucket, most))
+
+
+def test_fuzzy_patterns_compare_no_pairs():
+    compared = []
+
+    class Word(str):
+        __hash__ = str.__hash__
+
+        def __ne__(self, other):
+            compared.append(1)
+            return str.__ne__(self, other)
+
+    words = [Word(t) for i in range(300) for t in ("a", f"x{i}", "b", f"y{i}", "c")]
+    pt.fuzzy(words, Config(min_length=5, max_length=5))
+    assert len(compared) < 5 * len(words)
